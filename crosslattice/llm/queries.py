@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crosslattice.llm.components import consolidate
+from crosslattice.llm.leakage import find_leaks
 from crosslattice.llm.quality import quality_statistics
 from crosslattice.llm.splits import grouped_split, record_groups
 from crosslattice.llm.topn import top_n_per_group
@@ -44,6 +45,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return consolidate(spark, clean, "source_node", "target_node")
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     common = [r.word for r in table(spark, d, "common_words").select("word").collect()]  # a fixed list, 225 words
     return quality_statistics(table(spark, d, "documents"), "doc_id", "text", common)
@@ -55,6 +64,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_split": p3_split, "p5_found": p5_found,
+    "p8_found": p8_found, "p8_spans": p8_spans,
     "p9_found": p9_found, "p9_statistics": p9_statistics,
 }
 
