@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crosslattice.llm.components import consolidate
 from crosslattice.llm.leakage import find_leaks
+from crosslattice.llm.matching import match_entities
 from crosslattice.llm.quality import quality_statistics
 from crosslattice.llm.splits import grouped_split, record_groups
 from crosslattice.llm.topn import top_n_per_group
@@ -38,6 +39,14 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split(spark, _alignments(spark, d), "align_id", ["source_tax", "target_tax"])
 
 
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match_entities(spark, table(spark, d, "nodes"), table(spark, d, "taxonomies"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).select("node_id_a", "node_id_b")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "taxonomies")
     m = table(spark, d, "matches").select("source_id", "target_id")
@@ -63,7 +72,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_split": p3_split, "p5_found": p5_found,
+    "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_split": p3_split,
+    "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found,
     "p8_found": p8_found, "p8_spans": p8_spans,
     "p9_found": p9_found, "p9_statistics": p9_statistics,
 }
