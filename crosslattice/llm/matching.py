@@ -454,12 +454,14 @@ def calibrate(pairs: DataFrame) -> tuple[np.ndarray, float]:
     if len(rows) < 50 or rows["same"].nunique() < 2:
         return prior, -1.8
     x, y = _features(rows), rows["same"].to_numpy(float)
-    w, b = prior.copy(), -1.8
-    for _ in range(400):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        g = p - y
-        w -= 0.8 * (x.T @ g / len(y) + 0.01 * (w - prior))
-        b -= 0.8 * g.mean()
+    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    start = np.append(prior, -1.8)
+    w = start.copy()
+    for _ in range(30):  # Newton steps, held near the prior by a small ridge
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = x.T @ (x * (p * (1 - p))[:, None]) + 2.0 * np.eye(len(w))
+        w -= np.linalg.solve(h, x.T @ (p - y) + 2.0 * (w - start))
+    w, b = w[:-1], w[-1]
     return w, float(b)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from crosslattice.llm.components import consolidate
 from crosslattice.llm.leakage import find_leaks
 from crosslattice.llm.matching import match_entities
+from crosslattice.llm.packing import pack
 from crosslattice.llm.quality import quality_statistics
 from crosslattice.llm.splits import grouped_split, record_groups
 from crosslattice.llm.topn import top_n_per_group
@@ -54,6 +55,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return consolidate(spark, clean, "source_node", "target_node")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(spark, table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -74,6 +79,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_split": p3_split,
     "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found,
+    "p7_containers": p7_containers,
     "p8_found": p8_found, "p8_spans": p8_spans,
     "p9_found": p9_found, "p9_statistics": p9_statistics,
 }
