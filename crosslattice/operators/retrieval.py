@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def similarity_top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = B
     return top_k(met.mapInArrow(run, "pair string, source_id string, target_id string, score double"), k)
 
 
-def hashed_vector(text: pa.Array, dim: int = 256) -> np.ndarray:
+def hashed_vector(text: list[str | None], dim: int = 256) -> np.ndarray:
     """Unit vectors of texts by hashed letter triples: a deterministic stand-in for a trained encoder."""
     import xxhash
 
@@ -85,7 +86,6 @@ def hashed_vector(text: pa.Array, dim: int = 256) -> np.ndarray:
 
 def encode(df: DataFrame, text: str, encoder=hashed_vector, out: str = "vector") -> DataFrame:
     """Adds a vector of ``text``; ``encoder`` takes a list of texts and gives a matrix. It runs on Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
