@@ -161,9 +161,9 @@ def train(pairs: list[tuple[str, str, int]], dim: int = DIM, steps: int = 400, b
 
     def move(table: np.ndarray, scale: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
         """One step per word for all its samples, shortened by what it has moved so far."""
-        own, back = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(own), dim), np.float32)
-        np.add.at(total, back, grad)
+        order = np.argsort(rows, kind="stable")
+        own, first = np.unique(rows[order], return_index=True)
+        total = np.add.reduceat(grad[order], first, axis=0)
         scale[own] += (total**2).mean(1)
         table[own] += rate * total / np.sqrt(scale[own])[:, None]
 
