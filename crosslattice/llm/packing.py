@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 from collections.abc import Iterable, Iterator
 
@@ -104,22 +105,48 @@ def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarra
     return where, sums
 
 
+def repaired(sizes: np.ndarray, where: np.ndarray, windows: int, capacity: int) -> np.ndarray | None:
+    """Near-equal windows of which some overflow a little: items taken off those go where they fill best; null if one finds no room."""
+    where = where.copy()
+    load = np.bincount(where, weights=sizes, minlength=windows).astype(np.int64)
+    loose: list[int] = []
+    for w in np.flatnonzero(load > capacity):
+        inside = sorted(np.flatnonzero(where == w), key=lambda i: sizes[i])
+        while load[w] > capacity:
+            over = load[w] - capacity
+            at = next((j for j, i in enumerate(inside) if sizes[i] >= over), len(inside) - 1)
+            i = inside.pop(at)
+            load[w] -= sizes[i]
+            loose.append(int(i))
+    rooms = sorted((int(capacity - x), w) for w, x in enumerate(load))
+    for i in sorted(loose, key=lambda i: -sizes[i]):
+        at = bisect.bisect_left(rooms, (int(sizes[i]), -1))
+        if at == len(rooms):
+            return None
+        room, w = rooms.pop(at)
+        where[i] = w
+        bisect.insort(rooms, (room - int(sizes[i]), w))
+    return where
+
+
 def fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, in as few windows of ``capacity`` as differencing fills: their number rises while one overflows."""
+    """The window of each item, in as few windows of ``capacity`` as differencing and repair fill: their number rises while one overflows."""
+
+    def tried(windows: int) -> np.ndarray | None:
+        where, sums = differencing(sizes, windows)
+        return where if sums[0] <= capacity else repaired(sizes, where, windows, capacity)
+
     least = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
     low, k = least - 1, least
-    where, sums = differencing(sizes, k)
-    while sums[0] > capacity:
+    while (where := tried(k)) is None:
         low = k
-        k += max(1, int(k * (sums[0] - capacity) / capacity))
-        where, sums = differencing(sizes, k)
+        k += max(1, k // 100)
     while k - low > 1:  # between the last number that overflowed and the first that fitted
         mid = (k + low) // 2
-        w, s = differencing(sizes, mid)
-        if s[0] <= capacity:
-            k, where = mid, w
-        else:
+        if (w := tried(mid)) is None:
             low = mid
+        else:
+            k, where = mid, w
     return where
 
 
