@@ -105,28 +105,54 @@ def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarra
     return where, sums
 
 
-def repaired(sizes: np.ndarray, where: np.ndarray, windows: int, capacity: int) -> np.ndarray | None:
-    """Near-equal windows of which some overflow a little: items taken off those go where they fill best; null if one finds no room."""
-    where = where.copy()
-    load = np.bincount(where, weights=sizes, minlength=windows).astype(np.int64)
-    loose: list[int] = []
-    for w in np.flatnonzero(load > capacity):
-        inside = sorted(np.flatnonzero(where == w), key=lambda i: sizes[i])
-        while load[w] > capacity:
-            over = load[w] - capacity
-            at = next((j for j, i in enumerate(inside) if sizes[i] >= over), len(inside) - 1)
-            i = inside.pop(at)
-            load[w] -= sizes[i]
-            loose.append(int(i))
-    rooms = sorted((int(capacity - x), w) for w, x in enumerate(load))
-    for i in sorted(loose, key=lambda i: -sizes[i]):
-        at = bisect.bisect_left(rooms, (int(sizes[i]), -1))
-        if at == len(rooms):
+def repaired(sizes: np.ndarray, where: np.ndarray, windows: int, capacity: int, partners: int = 64) -> np.ndarray | None:
+    """Near-equal windows of which some overflow a little, mended by swaps: null if no swap helps.
+
+    The fullest window gives an item to one with room, or changes it for a smaller one there: the
+    swap that takes off just enough, else the one that takes off most.
+    """
+    load = np.bincount(where, weights=sizes, minlength=windows).astype(np.int64).tolist()
+    inside: list[list[int]] = [[] for _ in range(windows)]
+    for i, w in enumerate(where.tolist()):
+        inside[w].append(i)
+    size = sizes.tolist()
+    over = [(capacity - x, w) for w, x in enumerate(load) if x > capacity]
+    heapq.heapify(over)
+    rooms = sorted((capacity - x, w) for w, x in enumerate(load) if x < capacity)
+    while over:
+        lack, w = heapq.heappop(over)
+        need, best = -lack, None
+        for room, u in rooms[: -partners - 1 : -1]:
+            for a in inside[w]:
+                for b in (-1, *inside[u]):
+                    d = size[a] - (size[b] if b >= 0 else 0)
+                    if 0 < d <= room:
+                        rank = (0, d) if d >= need else (1, -d)
+                        if best is None or rank < best[0]:
+                            best = (rank, d, a, b, room, u)
+            if best and best[0] == (0, need):
+                break
+        if best is None:
             return None
-        room, w = rooms.pop(at)
-        where[i] = w
-        bisect.insort(rooms, (room - int(sizes[i]), w))
-    return where
+        _, d, a, b, room, u = best
+        inside[w].remove(a)
+        inside[u].append(a)
+        if b >= 0:
+            inside[u].remove(b)
+            inside[w].append(b)
+        load[w] -= d
+        load[u] += d
+        rooms.remove((room, u))
+        if load[u] < capacity:
+            bisect.insort(rooms, (capacity - load[u], u))
+        if load[w] > capacity:
+            heapq.heappush(over, (capacity - load[w], w))
+        elif load[w] < capacity:
+            bisect.insort(rooms, (capacity - load[w], w))
+    out = np.empty(len(sizes), np.int64)
+    for w, x in enumerate(inside):
+        out[x] = w
+    return out
 
 
 def fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
