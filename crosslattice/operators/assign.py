@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crosslattice.runtime import Scratch, nonblank
+from crosslattice.runtime import Scratch, nonblank, tasks
 
 KEYS = ("pair", "source_id", "target_id")
 #: Candidates of one pair that a task takes in the last step of the greedy rule.
@@ -74,7 +74,7 @@ def _local(rows: DataFrame) -> DataFrame:
                     take.append(i)
             yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(take, pa.int64())) for k in range(4)], schema=schema)
 
-    ordered = rows.select(*KEYS, "score").repartition("pair").sortWithinPartitions("pair", F.desc("score"), "source_id", "target_id")
+    ordered = rows.select(*KEYS, "score").repartition(tasks(rows.sparkSession), "pair").sortWithinPartitions("pair", F.desc("score"), "source_id", "target_id")
     return ordered.mapInArrow(run, "pair string, source_id string, target_id string, score double")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslattice.operators.hierarchy import MAX_LOCAL, _split, _trees, all_descendants, node_states
-from crosslattice.runtime import Scratch
+from crosslattice.runtime import Scratch, tasks
 
 
 def _known(nodes: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def shortest_chains(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max
                     out.append(chain[::-1])
                 yield pa.RecordBatch.from_arrays([pa.array([tax] * len(out), pa.string()), pa.array(t.names[low : low + 2000], pa.string()), pa.array(out, pa.list_(pa.string()))], schema=schema)
 
-    small = rows.repartition("tax").sortWithinPartitions("tax").mapInArrow(run, "tax string, node_id string, chain array<string>")
+    small = rows.repartition(tasks(rows.sparkSession), "tax").sortWithinPartitions("tax").mapInArrow(run, "tax string, node_id string, chain array<string>")
     if not many:
         return small
     known = links.join(own.select("tax", F.col("node_id").alias("parent_id")), ["tax", "parent_id"], "left_semi")
@@ -137,7 +137,7 @@ def back_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                         work.append(iter(sorted(t.parents[p])))
             yield pa.RecordBatch.from_arrays([pa.array([tax] * len(out), pa.string()), pa.array(out, pa.list_(pa.string()))], names=["tax", "cycle"])
 
-    return rows.repartition("tax").sortWithinPartitions("tax").mapInArrow(run, "tax string, cycle array<string>")
+    return rows.repartition(tasks(rows.sparkSession), "tax").sortWithinPartitions("tax").mapInArrow(run, "tax string, cycle array<string>")
 
 
 def disjoint_pairs(nodes: DataFrame, disjoint: DataFrame) -> DataFrame:

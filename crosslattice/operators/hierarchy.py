@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosslattice.runtime import Scratch, lookup
+from crosslattice.runtime import Scratch, lookup, tasks
 
 #: Trees of at most so many rows (nodes and links) are peeled within one task; larger ones in distributed rounds.
 MAX_LOCAL = 1_000_000
@@ -167,7 +167,7 @@ def _local(rows: DataFrame, full: bool) -> DataFrame:
         if out:
             yield _flush(out, _NODE)
 
-    return rows.repartition("tax").sortWithinPartitions("tax").mapInArrow(run, _NODE_SQL)
+    return rows.repartition(tasks(rows.sparkSession), "tax").sortWithinPartitions("tax").mapInArrow(run, _NODE_SQL)
 
 
 def _local_pairs(rows: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _local_pairs(rows: DataFrame) -> DataFrame:
         if out:
             yield _flush(out, _PAIR)
 
-    return rows.repartition("tax").sortWithinPartitions("tax").mapInArrow(run, "tax string, node_id string, descendant_id string")
+    return rows.repartition(tasks(rows.sparkSession), "tax").sortWithinPartitions("tax").mapInArrow(run, "tax string, node_id string, descendant_id string")
 
 
 def _split(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_local: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:

@@ -59,6 +59,11 @@ class Scratch:
                 self._remove(t._scratch_path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions of a stage whose work is far greater than its bytes: stated, so that AQE does not fold them into a few by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def nonblank(c: Column) -> Column:
     """Holds a character that is no white space; null counts as blank."""
     return F.coalesce(c.rlike(r"\S"), F.lit(False))
