@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crosslattice.runtime import Scratch, lookup, nonblank
+from crosslattice.runtime import Scratch, lookup, nonblank, tasks
 
 #: Words that are kept as vocabulary, most frequent first: bounds what every worker holds.
 VOCABULARY = 50_000
@@ -393,7 +393,7 @@ def _compared(cells: DataFrame, know, facts_only: bool) -> DataFrame:
         yield _table(out)
 
     keys = ["track", "board", "code", "ci", "cj"]
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _PAIR_SQL)
+    return cells.repartition(tasks(cells.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, _PAIR_SQL)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -491,7 +491,7 @@ def match_entities(spark: SparkSession, nodes: DataFrame, groups: DataFrame, acc
     if not n["rows"]:
         return empty
     counts = {r.w: r["count"] for r in rows.select(F.explode("words").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()}
-    met = _walk_pairs(rows.repartition("track").sortWithinPartitions("track"), counts, walks, length)
+    met = _walk_pairs(rows.repartition(tasks(spark), "track").sortWithinPartitions("track"), counts, walks, length)
     pairs = [(r.a, r.b, r.n) for r in met.orderBy(F.desc("n"), "a", "b").limit(MAX_TRAINED_PAIRS).collect()]
     vectors = train(pairs)
     sized = lookup(rows, rows.groupBy("track").agg(F.count(F.lit(1)).alias("size")), "track", "inner")

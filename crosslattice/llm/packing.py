@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosslattice.runtime import Scratch
+from crosslattice.runtime import Scratch, tasks
 
 #: Pattern by which the byte-level vocabularies cut text before merging, a fixed value of the public tokenizer.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -226,5 +226,5 @@ def pack(spark: SparkSession, docs: DataFrame, id: str, text: str, capacity: int
             yield flush(held)
 
     parts = rows.filter(F.col("tokens") < capacity).select(F.pmod(F.xxhash64("id", "tokens"), F.lit(groups)).alias("g"), "id", "piece", "start", "tokens")
-    packed = parts.repartition("g").sortWithinPartitions("g", "tokens", "id").mapInArrow(run, f"id {kind}, piece bigint, start bigint, tokens bigint, container string")
+    packed = parts.repartition(min(groups, max(tasks(spark), groups // 64)), "g").sortWithinPartitions("g", "tokens", "id").mapInArrow(run, f"id {kind}, piece bigint, start bigint, tokens bigint, container string")
     return packed.unionByName(full).withColumnRenamed("id", id)
