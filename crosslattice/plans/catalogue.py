@@ -764,3 +764,46 @@ def gnn_forward(spark: SparkSession, d: str) -> DataFrame:
     rng = np.random.default_rng(42)
     out = neural.forward(graph.adjacency(n, e), own.select("tax", "node_id", "vector"), [neural.Layer(32, 32, rng)], rng.standard_normal((32, 16)))
     return out.select("tax", "node_id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
+_CORE = "core AS (SELECT * FROM sc WHERE approach = 'embedding-a' AND mode IN ('concept', 'concept-parent', 'concept-children'))"
+
+
+@query(
+    _F1
+    + f""", {_CORE}, per AS (SELECT pair, avg(f1) AS m, max(f1) AS o FROM core GROUP BY pair),
+o AS (SELECT *, round((sum(f1) OVER (PARTITION BY mode) - f1) / (count(*) OVER (PARTITION BY mode) - 1), 12) AS others FROM core), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY pair ORDER BY others DESC, CASE mode WHEN 'concept' THEN 0 WHEN 'concept-parent' THEN 1 ELSE 2 END) = 1)
+SELECT round((SELECT avg(m) FROM per), 6) AS mean_f1, round((SELECT avg(o) FROM per), 6) AS oracle_f1, (SELECT count(*) FROM per) AS pairs, round((SELECT avg(f1) FROM l), 6) AS loo_f1"""
+)
+def mode_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(selection.mode_aggregates(_mode_scores(spark, d).filter("approach = 'embedding-a'"), MODES))
+
+
+@query(_PRED + f"s AS (SELECT *, {_PRF} FROM counts) SELECT 'embedding-a' AS approach, sum(round_even(precision * predicted, 0))::BIGINT AS tp, sum(predicted)::BIGINT AS predicted, sum(gold)::BIGINT AS gold, round(2 * sum(round_even(precision * predicted, 0)) / (sum(predicted) + sum(gold)), 6) AS pooled_f1 FROM s")
+def pooled_from_records(spark: SparkSession, d: str) -> DataFrame:
+    r = evaluate.evaluate(_predictions(spark, d), _gold(spark, d)).withColumn("approach", F.lit("embedding-a"))
+    return rounded(evaluate.pooled_from_records(r))
+
+
+@query(_CELLS + " SELECT segment, round(max(v) FILTER (priority = '1-URGENT'), 4) AS \"1-URGENT\", round(max(v) FILTER (priority = '5-LOW'), 4) AS \"5-LOW\" FROM x GROUP BY segment")
+def pivot_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.pivoted(_cells(spark, d), "segment", "priority", "v", ["1-URGENT", "5-LOW"]), 4)
+
+
+@query(
+    _F1
+    + """, th AS (SELECT unnest([0.0, 0.5, 0.7, 0.9])::DOUBLE AS threshold), pm AS (SELECT DISTINCT mode, pair FROM bp WHERE approach = 'embedding-a' AND mode IN ('concept', 'concept-parent', 'concept-children')),
+hs AS (SELECT b.*, gold.pair IS NOT NULL AS hit FROM (SELECT * FROM bp WHERE approach = 'embedding-a') b LEFT JOIN gold USING (pair, source_id, target_id)),
+sw AS (SELECT pm.mode, pm.pair, th.threshold, count(hs.pair) AS n, count(*) FILTER (hs.hit) AS tp, COALESCE(ANY_VALUE(gc.g), 0) AS g FROM pm CROSS JOIN th LEFT JOIN hs ON hs.mode = pm.mode AND hs.pair = pm.pair AND hs.score >= th.threshold LEFT JOIN gc ON gc.pair = pm.pair GROUP BY ALL),
+sf AS (SELECT mode, pair, threshold, CASE WHEN tp = 0 THEN 0.0 ELSE 2.0::DOUBLE * tp / (n + g) END AS f1 FROM sw),
+o AS (SELECT *, round((sum(f1) OVER (PARTITION BY mode, threshold) - f1) / (count(*) OVER (PARTITION BY mode, threshold) - 1), 12) AS others FROM sf)
+SELECT pair, mode, threshold, round(f1, 6) AS f1 FROM o QUALIFY row_number() OVER (PARTITION BY pair ORDER BY others DESC, threshold, CASE mode WHEN 'concept' THEN 0 WHEN 'concept-parent' THEN 1 ELSE 2 END) = 1"""
+)
+def loo_mode_and_threshold(spark: SparkSession, d: str) -> DataFrame:
+    m = _matches(spark, d).filter("approach = 'embedding-a' and confidence is not null").filter(F.col("mode").isin(MODES)).withColumn("score", F.col("confidence"))
+    both = F.concat_ws("\u0001", "mode", "pair")
+    gold = _gold(spark, d)
+    wide = m.select("mode", "pair").distinct().join(gold, "pair").select(both.alias("pair"), "source_id", "target_id")
+    s = evaluate.threshold_sweep(assign.clean(m.withColumn("pair", both)), wide, (0.0, 0.5, 0.7, 0.9))
+    s, _ = Scratch(spark, "joint").save(s.select(F.split("pair", "\u0001")[0].alias("mode"), F.split("pair", "\u0001")[1].alias("pair"), "threshold", "f1"))
+    return rounded(selection.loo_joint(s, MODES))
