@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from crosslattice.runtime import Scratch, lookup, nonblank, tasks
 
 #: Words that are kept as vocabulary, most frequent first: bounds what every worker holds.
-VOCABULARY = 50_000
+VOCABULARY = 30_000
 #: Phrase pairs kept as synonyms, and pairs of words trained on: bounded by the vocabulary, not by the records.
-MAX_SYNONYMS, MAX_TRAINED_PAIRS = 20_000, 2_000_000
+MAX_SYNONYMS, MAX_TRAINED_PAIRS = 20_000, 300_000
 #: Labelled pairs the calibration is fitted on, a bounded sample.
 MAX_LABELLED = 20_000
 #: Rows of a block compared within one task; larger blocks are cut into cells.

@@ -117,16 +117,18 @@ def quality_statistics(df: DataFrame, id: str, text: str, common: Sequence[str],
     letters, vowels, common_ratio = F.coalesce(share("letters", "visible"), F.lit(0.0)), F.coalesce(share("vowels", "letters"), F.lit(0.0)), F.coalesce(share("common", "words"), F.lit(0.0))
     repeated = (F.col("words") >= 6) & (F.col("distinct") <= 3 * F.col("pieces")) & (F.col("words") >= 3 * F.col("distinct"))
     numbers = F.col("number_rows") >= 0.5 * F.col("lines")
-    unreadable = (F.col("words") == 0) | repeated | (F.col("broken") > 0.05 * F.col("visible")) | ((letters + F.col("digits") / F.greatest("visible", F.lit(1))) < 0.45)
+    unreadable = (F.col("words") == 0) | repeated | (F.col("broken") > 0.05 * F.col("visible"))
+    length = (F.col("letters") + F.col("digits")) / F.greatest("words", F.lit(1))
     table = (F.col("rows") > 0.5 * F.col("all")) & ((letters >= 0.12) | numbers) | numbers
-    strange = (letters < 0.45) | (vowels < 0.27)
+    strange = (letters < 0.45) | (vowels < 0.27) | (length > 20) | ((length < 2.4) & (F.col("words") >= 10))
     per_line = F.col("rest") / F.greatest("rest_lines", F.lit(1))
     names = (F.col("rest_lines") >= 2) & (per_line <= 55) & (common_ratio < 0.12) & (F.col("breaks") <= 1 + 0.2 * F.col("rest_lines"))
+    few = (F.col("rest_lines") >= 3) & (per_line <= 40) & (common_ratio < 0.25) & (F.col("breaks") == 0) & (F.col("line_ends") <= 1)
     tasks = (F.col("rest_lines") >= 3) & (per_line <= 95) & (per_line >= 15) & (F.col("breaks") == 0) & (F.col("rest_upper") <= 1 + 0.15 * F.col("rest_lines"))
-    listed = F.col("entries") + F.when(names | tasks, F.col("rest")).otherwise(0)
+    listed = F.col("entries") + F.when(names | few | tasks, F.col("rest")).otherwise(0)
     kind = (
         F.when(~F.col("_seen"), F.lit(None).cast("string"))
-        .when(unreadable, "junk").when(table, "table").when(strange & (F.col("entries") < 0.5 * F.col("all")), "junk")
+        .when(unreadable, "junk").when(table, "table").when(strange & ((F.col("entries") < 0.5 * F.col("all")) | (length > 20) | (letters + F.col("digits") / F.greatest("visible", F.lit(1)) < 0.45)), "junk")
         .when(listed > 0.5 * F.col("all"), "list").otherwise("prose")
     )
     return whole.select(
