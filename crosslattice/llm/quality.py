@@ -86,10 +86,12 @@ def quality_statistics(df: DataFrame, id: str, text: str, common: Sequence[str],
     part = part.withColumn("low", F.lower("s")).withColumn("w", F.filter(F.split("low", r"[^\p{L}\p{M}\p{N}'’]+"), lambda x: x != "")).withColumn("other", F.regexp_replace("s", r"[\p{L}\p{M}]+", ""))
     part = part.withColumn("quoted", F.when(F.col("s").contains(">"), F.regexp_replace("s", r"(?m)^> ?", "")).otherwise(F.col("s"))).withColumn("no_rows", F.regexp_replace("quoted", ROW, "")).withColumn("no_entries", F.regexp_replace("no_rows", ENTRY, ""))
     line_end = r"(?m)[.!?…:;。][\"”»'’)\]]*[ \t]*$"
+    lines_left = F.col("no_entries").contains("\n")  # list rules need several lines
     sums = {
         "words": F.size("w") - F.col("mid_word"),
         "common": F.size(F.filter("w", lambda x: x.isin(known))),
-        "distinct": F.size(F.array_distinct("w")),
+        # only texts of at most three different words matter: more than three among the first ones settle it
+        "distinct": F.when(F.size(F.array_distinct(F.slice("w", 1, 12))) > 3, 1_000).otherwise(F.size(F.array_distinct("w"))),
         "letters": _length(F.col("s")) - _length(F.col("other")),
         "visible": _length(F.col("s")) - _length(F.regexp_replace("other", r"\S+", "")),
         "digits": _length(F.regexp_replace("other", r"[^\p{N}]+", "")),
@@ -103,8 +105,8 @@ def quality_statistics(df: DataFrame, id: str, text: str, common: Sequence[str],
         "entries": _length(F.col("no_rows")) - _length(F.col("no_entries")),
         "rest": _length(F.col("no_entries")),
         "rest_lines": F.regexp_count("no_entries", F.lit(r"(?m)^[ \t]*[^\s]")),
-        "rest_upper": F.regexp_count("no_entries", F.lit(r"(?m)^[ \t]*[^\p{L}\s]*\p{Lu}")),
-        "breaks": F.regexp_count("no_entries", F.lit(_SENTENCE_BREAK)),
+        "rest_upper": F.when(lines_left, F.regexp_count("no_entries", F.lit(r"(?m)^[ \t]*[^\p{L}\s]*\p{Lu}"))).otherwise(0),
+        "breaks": F.when(lines_left, F.regexp_count("no_entries", F.lit(_SENTENCE_BREAK))).otherwise(0),
         "pieces": F.lit(1),
     }
     counts = part.select("_id", "_h", "_seen", "_at", *[c.cast("bigint").alias(k) for k, c in sums.items()])
