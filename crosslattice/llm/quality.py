@@ -83,15 +83,16 @@ def quality_statistics(df: DataFrame, id: str, text: str, common: Sequence[str],
     base = df.select(F.col(f"`{id}`").alias("_id"), F.xxhash64(raw).alias("_h"), F.coalesce(raw.rlike(r"\S"), F.lit(False)).alias("_seen"), plain_text(raw).alias("_plain"))
     cut = base.select("_id", "_h", "_seen", F.explode_outer(pieces(F.col("_plain"), size)).alias("_p"))
     part = cut.select("_id", "_h", "_seen", F.col("_p.at").alias("_at"), F.coalesce(F.col("_p.s"), F.lit("")).alias("s"), *[F.coalesce(F.col(f"_p.{c}").cast("bigint"), F.lit(0)).alias(c) for c in ("mid_start", "mid_end", "mid_word")])
-    part = part.withColumn("low", F.lower("s")).withColumn("w", F.filter(F.split("low", r"[^\p{L}\p{M}\p{N}'’]+"), lambda x: x != "")).withColumn("other", F.regexp_replace("s", r"[\p{L}\p{M}]+", ""))
+    part = part.withColumn("low", F.lower("s")).withColumn("w", F.split("low", r"[^\p{L}\p{M}\p{N}'’]+")).withColumn("other", F.regexp_replace("s", r"[\p{L}\p{M}]+", ""))
     part = part.withColumn("quoted", F.when(F.col("s").contains(">"), F.regexp_replace("s", r"(?m)^> ?", "")).otherwise(F.col("s"))).withColumn("no_rows", F.regexp_replace("quoted", ROW, "")).withColumn("no_entries", F.regexp_replace("no_rows", ENTRY, ""))
     line_end = r"(?m)[.!?…:;。][\"”»'’)\]]*[ \t]*$"
     lines_left = F.col("no_entries").contains("\n")  # list rules need several lines
     sums = {
-        "words": F.size("w") - F.col("mid_word"),
+        # empty strings stand at the ends only, where the text starts or ends with something else
+        "words": F.greatest(F.lit(0), F.size("w") - (F.element_at("w", 1) == "").cast("int") - (F.element_at("w", -1) == "").cast("int")) - F.col("mid_word"),
         "common": F.size(F.filter("w", lambda x: x.isin(known))),
         # only texts of at most three different words matter: more than three among the first ones settle it
-        "distinct": F.when(F.size(F.array_distinct(F.slice("w", 1, 12))) > 3, 1_000).otherwise(F.size(F.array_distinct("w"))),
+        "distinct": F.when(F.size(F.array_distinct(F.array_remove(F.slice("w", 1, 12), ""))) > 3, 1_000).otherwise(F.size(F.array_distinct(F.array_remove("w", "")))),
         "letters": _length(F.col("s")) - _length(F.col("other")),
         "visible": _length(F.col("s")) - _length(F.regexp_replace("other", r"\S+", "")),
         "digits": _length(F.regexp_replace("other", r"[^\p{N}]+", "")),
