@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosslattice.runtime import Scratch, lookup, nonblank, tasks
@@ -273,10 +273,10 @@ class Scorer:
                 self.cache.popitem(last=False)
         return v
 
-    def views(self, words: list[str], told: list[float], numbers: list[float]) -> dict[str, np.ndarray]:
+    def views(self, words: list[str], told: list[float], numbers: list[float], canonical: bool = False) -> dict[str, np.ndarray]:
         """A record's vectors by what they show: name, told numbers, attribute numbers."""
         out = {}
-        if name := self.canon(words):
+        if name := words if canonical else self.canon(words):
             out["n"] = np.sum([self.vector(f"w:{x}") * np.log(1 + self.total / (1 + self.words.counts.get(x, 0))) for x in name], 0)
         if told:
             out["f"] = np.sum([self.vector(f"f:{x:g}") for x in told], 0)
@@ -285,40 +285,99 @@ class Scorer:
         return out
 
 
-#: Hash tables and most bits by view.
-TABLES = {"n": 4, "f": 1, "a": 8}
-_VIEW = {"n": 0, "f": 100, "a": 200}
+#: Boards that blocks belong to, by view: equal names and a sample of like ones, the other like names, told numbers, attribute numbers.
+_BOARD = {"n": 0, "m": 1, "f": 100, "a": 200}
+#: The least cosine of names that lets a pair through by itself.
+NEAR = 0.75
 
 
-def _planes(view: str, table: int) -> np.ndarray:
-    return np.random.default_rng(1000 + _VIEW[view] + table).standard_normal((24, DIM)).astype(np.float32)
+def _named(rows: DataFrame, know) -> DataFrame:
+    """Adds ``canon``: the canonical name, blank where there is none."""
+    schema = pa.schema([*_RECORD_SCHEMA, ("canon", pa.string())])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*know.value)
+        for b in batches:
+            c = [b.column(b.schema.get_field_index(f)) for f in _RECORD_SCHEMA.names]
+            words = c[_RECORD_SCHEMA.names.index("words")].to_pylist()
+            yield pa.RecordBatch.from_arrays([*c, pa.array([" ".join(scorer.canon(w)) for w in words], pa.string())], schema=schema)
 
-def _coded(rows: DataFrame, know, views: str) -> DataFrame:
-    """Each record once for each view and table, with its hyperplane code; ``size`` is its track's."""
-    schema = pa.schema([*_RECORD_SCHEMA, ("board", pa.int32()), ("code", pa.int64())])
+    return rows.mapInArrow(run, _RECORD + ", canon string")
+
+
+def _near_names(named: DataFrame, know, cell: int) -> DataFrame:
+    """``track``, ``x``, ``y``: all pairs of different canonical names of a track whose cosine is at least ``NEAR``, by exact comparison.
+
+    Distinct names of a track are compared in cells, each a product of two bounded matrices.
+    """
+    names = named.filter("canon <> ''").select("track", F.lit(0).alias("board"), F.lit(0).cast("bigint").alias("code"), F.col("canon").alias("id")).distinct()
+    keys = ["track", "ci", "cj"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*know.value)
-        planes = {(v, k): _planes(v, k) for v in views for k in range(TABLES[v])}
-        for b in batches:
-            c = {f: b.column(b.schema.get_field_index(f)) for f in (*_RECORD_SCHEMA.names, "size")}
-            words, told, numbers, size = (c[k].to_pylist() for k in ("words", "told", "numbers", "size"))
-            take, board, code = [], [], []
-            for k in range(b.num_rows):
-                for v, x in scorer.views(words[k], told[k], numbers[k]).items():
-                    if v not in views:
-                        continue
-                    bits = 24 if v == "f" else int(np.clip(np.ceil(np.log2(max(2, size[k]) / 6)), 2, 20))
-                    for t in range(TABLES[v]):
-                        sign = (planes[v, t][:bits] @ x) > 0
-                        take.append(k)
-                        board.append(_VIEW[v] + t)
-                        code.append(int(sign @ (1 << np.arange(bits, dtype=np.int64))))
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([c[f].take(at) for f in _RECORD_SCHEMA.names] + [pa.array(board, pa.int32()), pa.array(code, pa.int64())], schema=schema)
+        now, block = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            track, ci, cj = now
+            rows = [r for r in block if r[1] == ci]
+            columns = rows if ci == cj else [r for r in block if r[1] == cj]
+            if not rows or not columns:
+                return
+            left, right = (np.stack([v / max(1e-9, float(np.linalg.norm(v))) for v in (scorer.views(n.split(" "), [], [], canonical=True)["n"] for n, _ in side)]) for side in (rows, columns))
+            i, j = np.nonzero(left @ right.T >= NEAR - 1e-4)  # the exact comparison of records settles the last digits
+            if ci == cj:
+                i, j = i[i < j], j[i < j]
+            pairs = [sorted((rows[p][0], columns[q][0])) for p, q in zip(i, j)]
+            for k in range(0, len(pairs), 50_000):
+                part = pairs[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([track] * len(part), pa.string()), pa.array([x for x, _ in part], pa.string()), pa.array([y for _, y in part], pa.string())], names=["track", "x", "y"])
 
-    return rows.mapInArrow(run, _RECORD + ", board int, code bigint")
+        for b in batches:
+            c = [b.column(b.schema.get_field_index(k)).to_pylist() for k in ("track", "ci", "cj", "id", "part")]
+            for track, ci, cj, id, part in zip(*c):
+                if (track, ci, cj) != now:
+                    if now:
+                        yield from flush()
+                    now, block = (track, ci, cj), []
+                block.append((id, part))
+        if now:
+            yield from flush()
+
+    cells = _cells(names, cell).select("track", "ci", "cj", "id", "part")
+    return cells.repartition(tasks(named.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "track string, x string, y string")
+
+
+def _coded(rows: DataFrame, views: str, near: DataFrame | None = None) -> DataFrame:
+    """Each record once for each block it belongs to: ``board``, ``code``, and ``side``.
+
+    Records meet if they tell the same numbers (view f), have two attribute numbers in common (a),
+    or names that are equal or among the pairs ``near`` (n). In blocks of two names only records of
+    different sides meet; elsewhere ``side`` is -1.
+    """
+    whole = F.lit(-1)
+
+    def block(board: Column, code: Column, side: Column = whole) -> Column:
+        return F.struct(board.cast("int").alias("board"), code.alias("code"), side.alias("side"))
+
+    blocks = []
+    if "f" in views:
+        told = F.concat_ws(",", F.transform("told", lambda x: x.cast("string")))
+        blocks.append(F.when(F.size("told") > 0, F.array(block(F.lit(_BOARD["f"]), F.xxhash64(told)))))
+    if "a" in views:
+        # the numbers of a record are sorted and distinct
+        two = F.flatten(F.transform("numbers", lambda x, i: F.transform(F.filter("numbers", lambda y: y > x), lambda y: block(F.lit(_BOARD["a"]), F.xxhash64(x, y)))))
+        blocks.append(F.when(F.size("numbers") >= 2, two))
+    if "n" in views:
+        code = F.xxhash64("x", "y")
+        board = F.when(F.pmod(code, F.lit(4)) == 0, _BOARD["n"]).otherwise(_BOARD["m"])  # a sample of like names is enough to learn from
+        ends = F.explode(F.array(F.struct(F.col("x").alias("canon"), F.lit(0).alias("side")), F.struct(F.col("y").alias("canon"), F.lit(1).alias("side"))))
+        others = near.select("track", board.alias("board"), code.alias("code"), ends.alias("e")).groupBy("track", F.col("e.canon").alias("canon")).agg(F.collect_list(block(F.col("board"), F.col("code"), F.col("e.side"))).alias("near_blocks"))
+        rows = rows.join(others, ["track", "canon"], "left")
+        blocks.append(F.when(F.col("canon") != "", F.array(block(F.lit(_BOARD["n"]), F.xxhash64("canon")))))
+        blocks.append(F.col("near_blocks"))
+    none = F.array().cast("array<struct<board:int,code:bigint,side:int>>")
+    each = F.explode(F.concat(*[F.coalesce(b, none) for b in blocks])).alias("_b")
+    return rows.select(*_RECORD_SCHEMA.names, each).select(*_RECORD_SCHEMA.names, "_b.board", "_b.code", "_b.side")
 
 
 def _cells(coded: DataFrame, cell: int) -> DataFrame:
@@ -343,7 +402,7 @@ def _compared(cells: DataFrame, know, facts_only: bool) -> DataFrame:
     def rate(scorer: Scorer, p: tuple, q: tuple, board: int) -> tuple | None:
         both = bool(p["told"]) and bool(q["told"])
         same = both and p["told"] == q["told"]
-        if both and not same and (facts_only or board != 0):  # told numbers decide; where they differ, one table of names is enough to learn from
+        if both and not same and (facts_only or board != _BOARD["n"]):  # told numbers decide; where they differ, a sample of like names is enough to learn from
             return None
         shared = len(p["numbers"] & q["numbers"])
         clash = int(bool(p["numbers"]) and bool(q["numbers"]) and not shared)
@@ -354,7 +413,7 @@ def _compared(cells: DataFrame, know, facts_only: bool) -> DataFrame:
             if both or p["vector"] is None or q["vector"] is None:
                 return None
         cosine = 0.0 if p["vector"] is None or q["vector"] is None else float(p["vector"] @ q["vector"])
-        if not same and not equal and shared < 2 and cosine < 0.75:
+        if not same and not equal and shared < 2 and cosine < NEAR:
             return None
         union = len(p["others"] | q["others"])
         units = len(p["around"] & q["around"])
@@ -368,8 +427,9 @@ def _compared(cells: DataFrame, know, facts_only: bool) -> DataFrame:
 
         def flush() -> None:
             _, board, _, ci, cj = now
+            sides = [q for q in block if q["side"] == 0]
             for i, p in enumerate(block):
-                for q in block[:i]:
+                for q in block[:i] if p["side"] < 0 else sides if p["side"] else ():
                     if p["tax"] == q["tax"] or ci != cj and p["part"] == q["part"]:
                         continue
                     x, y = (p, q) if p["id"] < q["id"] else (q, p)
@@ -377,14 +437,14 @@ def _compared(cells: DataFrame, know, facts_only: bool) -> DataFrame:
                         out.append((x["id"], y["id"], x["tax"], y["tax"], x["words"], y["words"], x["key"], y["key"], *r))
 
         for b in batches:
-            c = [b.column(b.schema.get_field_index(k)).to_pylist() for k in ("track", "board", "code", "ci", "cj", "tax", "id", "words", "own", "told", "around", "numbers", "others", "part")]
-            for track, board, code, ci, cj, tax, id, words, own, told, around, numbers, others, part in zip(*c):
+            c = [b.column(b.schema.get_field_index(k)).to_pylist() for k in ("track", "board", "code", "ci", "cj", "tax", "id", "words", "own", "told", "around", "numbers", "others", "part", "side")]
+            for track, board, code, ci, cj, tax, id, words, own, told, around, numbers, others, part, side in zip(*c):
                 if (track, board, code, ci, cj) != now:
                     if len(block) > 1:
                         flush()
                     now, block = (track, board, code, ci, cj), []
                 view = scorer.views(words, [], []).get("n")
-                block.append({"tax": tax, "id": id, "words": words, "own": own, "told": told, "around": set(around), "numbers": set(numbers), "others": set(others), "part": part, "canon": scorer.canon(words), "vector": None if view is None else view / max(1e-9, float(np.linalg.norm(view))), "key": ",".join(f"{x:g}" for x in told)})
+                block.append({"tax": tax, "id": id, "words": words, "own": own, "told": told, "around": set(around), "numbers": set(numbers), "others": set(others), "part": part, "side": side, "canon": scorer.canon(words), "vector": None if view is None else view / max(1e-9, float(np.linalg.norm(view))), "key": ",".join(f"{x:g}" for x in told)})
                 if len(out) > 20_000:
                     yield _table(out)
                     out.clear()
@@ -476,8 +536,9 @@ def match_entities(spark: SparkSession, nodes: DataFrame, groups: DataFrame, acc
     confidence, and only if that holds the other way, too; of equal ones the smaller id counts.
 
     Random walks over records, attributes and tokens give the counts on which skip-gram vectors are
-    trained. Vectors of each record's name, told numbers and attribute numbers are hashed by
-    hyperplanes in several tables; records of a track that share a code are compared exactly.
+    trained. Records of a track are compared exactly if their names are equal or have a cosine of
+    at least ``NEAR`` (found among all pairs of distinct names), if they tell the same numbers, or
+    if they have two attribute numbers in common; so no pair that can pass is left out.
     Told numbers decide where both sides have them; all other pairs get a confidence calibrated on
     those that are decided.
     """
@@ -494,11 +555,12 @@ def match_entities(spark: SparkSession, nodes: DataFrame, groups: DataFrame, acc
     met = _walk_pairs(rows.repartition(tasks(spark), "track").sortWithinPartitions("track"), counts, walks, length)
     pairs = [(r.a, r.b, r.n) for r in met.orderBy(F.desc("n"), "a", "b").limit(MAX_TRAINED_PAIRS).collect()]
     vectors = train(pairs)
-    sized = lookup(rows, rows.groupBy("track").agg(F.count(F.lit(1)).alias("size")), "track", "inner")
     know = spark.sparkContext.broadcast((counts, vectors, {}))
-    sure, _ = scratch.save(_compared(_cells(_coded(sized, know, "f"), cell), know, True).filter("same = 1 and units >= 1"))
+    sure, _ = scratch.save(_compared(_cells(_coded(rows, "f"), cell), know, True).filter("same = 1 and units >= 1"))
     know = spark.sparkContext.broadcast((counts, vectors, learn_synonyms(spark, sure, counts)))
-    found = _compared(_cells(_coded(sized, know, "nfa"), cell), know, False).drop("words_a", "words_b").dropDuplicates(["a", "b"])
+    named, _ = scratch.save(_named(rows, know))
+    near, _ = scratch.save(_near_names(named, know, cell))
+    found = _compared(_cells(_coded(named, "nfa", near), cell), know, False).drop("words_a", "words_b").dropDuplicates(["a", "b"])
     found, _ = scratch.save(found)
     w, b = calibrate(found)
     score = F.lit(b)

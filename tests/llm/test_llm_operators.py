@@ -304,3 +304,20 @@ def test_recall_on_held_out_truth(spark):
         truth.add((f"a#{i:02}", f"b#{i:02}"))
     got = {(p.node_id_a, p.node_id_b) for p in matching.match_entities(spark, entities(spark, rows), spark.createDataFrame([("a", "t"), ("b", "t")], "tax string, track string")).collect()}
     assert len(got & truth) >= 0.9 * len(truth) and len(got - truth) <= 0.05 * len(truth)
+
+def test_every_like_pair_of_a_large_track_is_met(spark):
+    """Recall against brute force over one track: like names that are not equal, and two of three attribute numbers equal."""
+    r = random.Random(3)
+    words = [f"{a}{b}" for a in ("bal", "cor", "dun", "fel", "gim", "hov") for b in ("tap", "rix", "mon", "dek", "sul", "wep")]
+    recs = [(t, f"{t}#{i:04}", [*r.sample(words, 3)], sorted(r.sample(range(2, 60), 3))) for t in "ab" for i in range(600)]
+    rows = spark.createDataFrame([("t", t, i, w, True, [], [], [float(x) for x in n], []) for t, i, w, n in recs], matching._RECORD)
+    know = spark.sparkContext.broadcast(({w: 9 for w in words}, {}, {}))
+    scorer = matching.Scorer(*know.value)
+    near = matching._near_names(matching._named(rows, know), know, 200)
+    for view in "na":
+        coded = matching._coded(matching._named(rows, know), view, near)
+        got = {(p.a, p.b) for p in matching._compared(matching._cells(coded, 300), know, False).collect()}
+        vectors = np.stack([(v := scorer.views(w, [], [])["n"]) / np.linalg.norm(v) for _, _, w, _ in recs])
+        cosine = vectors @ vectors.T
+        want = {(p[1], q[1]) for i, p in enumerate(recs) for j, q in enumerate(recs) if p[0] == "a" and q[0] == "b" and (cosine[i, j] >= 0.7501 if view == "n" else len(set(p[3]) & set(q[3])) >= 2)}
+        assert len(want) > 300 and want <= got
