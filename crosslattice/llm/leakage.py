@@ -53,6 +53,7 @@ class Automaton:
             for at, c in enumerate(x):
                 last = self._extend(last, c)
                 own.setdefault(last, []).append((item, at))
+        self.taken: dict[tuple[int, int], int] = {}
         self.ends: list[list[tuple[int, int]]] = [own.get(s, []) for s in range(len(self.next))]
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             if self.length[self.link[s]] >= 1:
@@ -87,9 +88,13 @@ class Automaton:
         return s
 
     def runs(self, words: list[int | None], least: int) -> Iterator[tuple[int, int, int, int]]:
-        """(item, end in the item, end in the text, length) of the longest matches that end at each place where one stops growing."""
+        """(item, end in the item, end in the text, length) of the longest matches of each place of an item, where that place's own match stops growing.
+
+        A place stops where its item's next word is not the text's: others may run on, so it is asked
+        of every place on the suffix links, not of the state alone.
+        """
         state, length, n = 0, 0, len(words)
-        nxt, link, lengths = self.next, self.link, self.length
+        nxt, link, lengths, items = self.next, self.link, self.length, self.items
         for at, c in enumerate(words):
             if c is None:
                 state = length = 0
@@ -99,13 +104,36 @@ class Automaton:
                 length = lengths[state]
             if c in nxt[state]:
                 state, length = nxt[state][c], length + 1
-            if length >= least and (at + 1 == n or words[at + 1] is None or words[at + 1] not in nxt[state]):
-                s, ell = state, length
-                while ell >= least:
+            if length < least:
+                continue
+            after = words[at + 1] if at + 1 < n else None
+            s, ell, seen, told = state, length, -1, False
+            while ell >= least:
+                # where no more places end here than in the longer state, there is nothing new to tell
+                if len(self.ends[s]) > seen and (after is None or len(self.ends[s]) != self._going(s, after)):
                     for item, end in self.ends[s]:
-                        yield item, end, at, ell
-                    s = link[s]
-                    ell = lengths[s]
+                        x = items[item]
+                        if after is None or end + 1 == len(x) or x[end + 1] != after:
+                            told = told or s == state
+                            if not told:  # the place's longest match is told with it
+                                told = True
+                                yield from ((i, e, at, length) for i, e in self.ends[state])
+                            yield item, end, at, ell
+                seen = len(self.ends[s])
+                s = link[s]
+                ell = lengths[s]
+
+    def _going(self, s: int, after: int) -> int:
+        """How many of a state's places can take the word."""
+        t = self.next[s].get(after)
+        if t is None:
+            return 0
+        key = (s, after)
+        if key not in self.taken:
+            if len(self.taken) > 500_000:
+                self.taken.clear()
+            self.taken[key] = sum(1 for item, end in self.ends[s] if end + 1 < len(self.items[item]) and self.items[item][end + 1] == after)
+        return self.taken[key]
 
 
 def _stock(items: dict[int, list[int]], shared: int) -> dict[int, int]:
@@ -194,14 +222,16 @@ def leaked(auto: Automaton, stock: dict[int, int], text: str, least: int, rate:
     """(item, item words, changed, first word, last word) of the longest passage of each item in the text."""
     get = auto.words.get
     words = [get(w) for w in normal_words(text)]
-    anchors: dict[int, list[tuple[int, int, int]]] = {}
+    anchors: dict[int, dict[tuple[int, int], int]] = {}
     seed = max(2, -(-(least - least // rate) // (least // rate + 1)) - 1)
     for item, end, at, n in auto.runs(words, seed):
         start = end - n + 1
         if start < stock[item]:
-            anchors.setdefault(item, []).append((start, at - n + 1, n))
+            of, key = anchors.setdefault(item, {}), (start, at - n + 1)
+            of[key] = max(n, of.get(key, 0))
     out = []
-    for item, a in anchors.items():
+    for item, of in anchors.items():
+        a = [(*k, n) for k, n in of.items()]
         spans = [s for steps in _path(auto.items[item], words, a, 2 * rate) if (s := _span(steps, least, rate))]
         if spans:
             out.append((item, *max(spans)))

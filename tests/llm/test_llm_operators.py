@@ -182,6 +182,23 @@ def test_automaton_tells_longest_matches():
         assert n == max(k for k in range(1, at + 2) if any(text[at - k + 1 : at + 1] == x[e - k + 1 : e + 1] for x in items.values() for e in range(k - 1, len(x))))
 
 
+def test_leak_of_an_item_that_is_part_of_another_and_of_shared_passages():
+    inner = [f"p{k}" for k in range(20)]
+    items = {1: [f"a{k}" for k in range(10)] + inner + [f"b{k}" for k in range(10)], 2: inner, 3: ["c", *inner, "d"]}
+    assert spans(" ".join(items[1]), items) == {1: (40, 0), 2: (20, 0), 3: (20, 0)}
+    assert spans(" ".join(["zz", *inner, "b0", "b1"]), items) == {1: (22, 0), 2: (20, 0), 3: (20, 0)}
+    r = random.Random(5)
+    items = {i: [r.choice("abc") for _ in range(r.randrange(1, 14))] for i in range(8)}
+    text = [r.choice("abcd") for _ in range(150)]
+    auto = leakage.Automaton(items)
+    ends = {(i, e, at) for i, e, at, _ in auto.runs([auto.words.get(w) for w in text], 3)}
+    for i, x in items.items():
+        for e in range(2, len(x)):
+            for at in range(2, len(text)):
+                if x[e - 2 : e + 1] == text[at - 2 : at + 1] and (e + 1 == len(x) or at + 1 == len(text) or x[e + 1] != text[at + 1]):
+                    assert (i, e, at) in ends
+
+
 def test_leak_query_on_dirty_rows(spark):
     docs = spark.createDataFrame([(1, " ".join(ITEM), 0), (2, None, 0), (3, "", 0), (4, "x " * 200_000 + " ".join(ITEM[:20]), 0)], "doc_id bigint, text string, item_id int")
     items = spark.createDataFrame([(7, " ".join(ITEM)), (7, " ".join(ITEM)), (8, None), (9, "")], "item_id bigint, text string")
