@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crosslattice.operators.assign import greedy_injective
 from crosslattice.runtime import Scratch, lookup, nonblank, tasks
 
 #: Words that are kept as vocabulary, most frequent first: bounds what every worker holds.
@@ -532,8 +533,8 @@ def match_entities(spark: SparkSession, nodes: DataFrame, groups: DataFrame, acc
     ``groups`` gives each ``tax`` its ``track``. Of repeated rows of an id the latest counts. Null
     or blank names, descriptions and attributes are missing evidence: a record without any is
     matched with nothing. Records whose source has no track, or the only source of its track,
-    match nothing. A record matches at most one record of another source, the one of the highest
-    confidence, and only if that holds the other way, too; of equal ones the smaller id counts.
+    match nothing. A record matches at most one record of another source: pairs are taken by falling
+    confidence, of equal ones the smaller ids first, as long as both records are free.
 
     Random walks over records, attributes and tokens give the counts on which skip-gram vectors are
     trained. Records of a track are compared exactly if their names are equal or have a cosine of
@@ -568,15 +569,18 @@ def match_entities(spark: SparkSession, nodes: DataFrame, groups: DataFrame, acc
         score = score + F.lit(float(k)) * F.expr(c)
     backed = (F.col("units") >= 2) | (F.col("shared") >= 1) | (F.col("units") == 1) & (F.col("alike") > 0)
     told = F.when((F.col("same") == 1) & backed, F.lit(0.9) + 0.1 * F.least(F.lit(1.0), F.greatest("equal", "cosine", F.lit(0.0)))).otherwise(0.0)
-    named = (F.col("equal") > 0) | (F.col("shared") >= 2) | (F.col("shared") >= 1) & (F.col("cosine") >= 0.75)
-    rated = found.withColumn("confidence", F.when(F.col("known") == 1, told).when(named, 1 / (1 + F.exp(-score))).otherwise(0.0)).filter(F.col("confidence") >= accept)
-    return _consistent(_one_to_one(rated)).select(F.col("a").alias("node_id_a"), F.col("b").alias("node_id_b"), "confidence")
-
-
-def _one_to_one(rated: DataFrame) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("a", "tax_b").orderBy(F.desc("confidence"), "b"))
-    second = F.row_number().over(Window.partitionBy("b", "tax_a").orderBy(F.desc("confidence"), "a"))
-    return rated.withColumn("r1", first).withColumn("r2", second).filter("r1 = 1 and r2 = 1").drop("r1", "r2")
+    rated = found.withColumn("confidence", F.when(F.col("known") == 1, told).otherwise(1 / (1 + F.exp(-score)))).filter(F.col("confidence") >= accept)
+    rated, _ = scratch.save(rated)
+    return _consistent(_one_to_one(spark, rated)).select(F.col("a").alias("node_id_a"), F.col("b").alias("node_id_b"), "confidence")
+
+
+def _one_to_one(spark: SparkSession, rated: DataFrame) -> DataFrame:
+    """Mutually best partners of each two sources again and again, until no pair of two free records is left."""
+    turned = F.col("tax_a") > F.col("tax_b")
+    pair = F.to_json(F.array(F.least("tax_a", "tax_b"), F.greatest("tax_a", "tax_b"))).alias("pair")
+    ends = F.when(turned, F.col("b")).otherwise(F.col("a")).alias("source_id"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("target_id")
+    taken = greedy_injective(spark, rated.select(pair, *ends, F.col("confidence").alias("score")))
+    return rated.join(taken.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")), ["a", "b"], "left_semi")
 
 
 def _consistent(rated: DataFrame) -> DataFrame:

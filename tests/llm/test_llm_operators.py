@@ -338,3 +338,16 @@ def test_every_like_pair_of_a_large_track_is_met(spark):
         cosine = vectors @ vectors.T
         want = {(p[1], q[1]) for i, p in enumerate(recs) for j, q in enumerate(recs) if p[0] == "a" and q[0] == "b" and (cosine[i, j] >= 0.7501 if view == "n" else len(set(p[3]) & set(q[3])) >= 2)}
         assert len(want) > 300 and want <= got
+
+
+def test_every_free_accepted_pair_is_taken(spark):
+    rows = [(a, b, a[0], b[0], 0.9) for a in ("x1", "x2") for b in ("y1", "y2")] + [("x3", "y3", "x", "y", 0.8), ("x1", "z1", "x", "z", 0.6), ("w1", "x1", "y", "x", 0.7)]
+    rated = spark.createDataFrame(rows, "a string, b string, tax_a string, tax_b string, confidence double")
+    got = {(r.a, r.b) for r in matching._one_to_one(spark, rated).collect()}
+    assert got == {("x1", "y1"), ("x2", "y2"), ("x3", "y3"), ("x1", "z1")}
+
+
+def test_equal_records_all_find_a_partner(spark):
+    n = entities(spark, [(t, f"{t}#{i}", "LateChair", None, None) for t in "ab" for i in range(3)])
+    groups = spark.createDataFrame([("a", "t"), ("b", "t")], "tax string, track string")
+    assert {(r.node_id_a, r.node_id_b) for r in matching.match_entities(spark, n, groups).collect()} == {(f"a#{i}", f"b#{i}") for i in range(3)}
