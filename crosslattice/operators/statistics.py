@@ -79,7 +79,7 @@ def adjusted(tests: DataFrame) -> DataFrame:
     return t.withColumn("p_holm", F.max(step).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * F.col("m"))).drop("_i", "m")
 
 
-def bootstrap(diffs: DataFrame, rounds: int = 1000, seed: int = 20260601) -> DataFrame:
+def bootstrap(diffs: DataFrame, rounds: int = 10_000, seed: int = 20260601) -> DataFrame:
     """``label``, ``ci_low``, ``ci_high``: 2.5 and 97.5 percentiles of the mean of resampled differences.
 
     The index of each draw comes from arithmetic on round and place, so every engine draws alike.

@@ -598,6 +598,11 @@ def bootstrap_lcg_ci(spark: SparkSession, d: str) -> DataFrame:
     return rounded(statistics.bootstrap(_diffs(spark, d), 200))
 
 
+@query()
+def bootstrap_lcg_ci_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(statistics.bootstrap(_diffs(spark, d)))
+
+
 @query("SELECT user_id, count(*) AS runs, round(avg(value), 6) AS mean, round(COALESCE(stddev_samp(value), 0), 6) AS stdev, round(min(value), 6) AS low, round(max(value), 6) AS high, round(max(value) - min(value), 6) AS range FROM events GROUP BY user_id")
 def repeat_spread(spark: SparkSession, d: str) -> DataFrame:
     return rounded(selection.spread(table(spark, d, "events"), "user_id", "value"))

@@ -208,3 +208,22 @@ def test_stream_drops_repeats_and_resumes(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("a",), ("a2",), ("b",), ("b2",)]
     batch = s.windowed_accounting(df, "ts", "1 day", "1 hour", "key", "v")
     assert rows(batch.select("key", "n", "total")) == [("a", 2, 2.0), ("b", 1, 2.0)]
+
+
+def test_bootstrap_runs_ten_thousand_rounds(spark):
+    import numpy as np
+
+    from crosslattice.operators import statistics
+
+    diffs = [0.1, -0.3, 0.25, 0.4, -0.05, 0.7, 0.02]
+    got = statistics.bootstrap(spark.createDataFrame([("m", f"p{i}", x) for i, x in enumerate(diffs)], "label string, pair string, diff double")).first()
+    means = []
+    for round_ in range(10_000):
+        draws = []
+        for j in range(len(diffs)):
+            x = (20260601 + round_ * 7919 + j * 104729) % statistics.LCG_M
+            for _ in range(2):
+                x = (x * statistics.LCG_A + statistics.LCG_C) % statistics.LCG_M
+            draws.append(diffs[(x >> 8) % len(diffs)])
+        means.append(sum(draws) / len(diffs))
+    assert np.allclose([got.ci_low, got.ci_high], np.percentile(means, [2.5, 97.5]), atol=1e-9)
