@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, OrderedDict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosslattice.operators.assign import greedy_injective
@@ -16,12 +16,14 @@ from crosslattice.runtime import Scratch, lookup, nonblank, tasks
 
 #: Words that are kept as vocabulary, most frequent first: bounds what every worker holds.
 VOCABULARY = 30_000
-#: Phrase pairs kept as synonyms, and pairs of words trained on: bounded by the vocabulary, not by the records.
-MAX_SYNONYMS, MAX_TRAINED_PAIRS = 20_000, 300_000
-#: Labelled pairs the calibration is fitted on, a bounded sample.
-MAX_LABELLED = 20_000
-#: Rows of a block compared within one task; larger blocks are cut into cells.
-CELL = 1_500
+#: Pairs of words trained on: bounded by the vocabulary, not by the records.
+MAX_TRAINED_PAIRS = 300_000
+#: Pairs each calibration is fitted on, a bounded sample of the blocks.
+MAX_LABELLED = 60_000
+#: Records in a stretch of random walks, and rows of a block compared within one task; larger ones are split.
+STRETCH, CELL = 20_000, 1_500
+#: Mean records of a hyperplane block; chance that two names of cosine ``NEAR`` share one of the tables.
+BLOCK, MEET, NEAR = 8, 0.9, 0.85
 DIM = 48
 
 #: Number words, fixed values.
@@ -30,15 +32,9 @@ TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(),
 
 _TENS, _UNITS = "|".join(TENS), "|".join(k for k, v in ONES.items() if 0 < v < 10)
 _NUMBER = re.compile(rf"\d+(?:\.\d+)?|\b(?:(?:{_TENS})(?:[- ](?:{_UNITS}))?|{'|'.join(ONES)})\b", re.I)
-_OPAQUE = re.compile(r"^\s*[^\W\d]+[_\-\s]?\d{3,}\s*$")
 _SPLIT = re.compile(r"(?<=[^\W\d_])(?<![A-Z])(?=[A-Z])")
+_WORD = re.compile(r"[^\W\d_]+")
 _FILLER = frozenset("of the a an and for in".split())
-#: How a description names its concept: modifier and head words, fixed patterns of plain English.
-_INTROS = [
-    re.compile(r"^\s*An? ([^.;:,]+?)(?:\.| that\b)"),
-    re.compile(r"^\s*Any ([^.;:,]+?) which is ([^.;:,]+?) and\b"),
-    re.compile(r"^\s*([^.;:,(]+?) \(([^)]+)\):"),
-]
 
 
 def number(text: str) -> float | None:
@@ -53,30 +49,21 @@ def number(text: str) -> float | None:
 
 
 def facts(text: str) -> tuple[list[float], list[str]]:
-    """The numbers in a text, sorted, and the other words around them."""
+    """The numbers in a text, sorted, and the other words in order."""
     found = sorted(n for m in _NUMBER.findall(text) if (n := number(m)) is not None)
-    return found, re.findall(r"[^\W\d_]{3,}", _NUMBER.sub(" ", text.lower()))
+    return found, [w for w in _WORD.findall(_NUMBER.sub(" ", text.lower())) if w not in _FILLER]
 
 
 def words_of(name: str) -> list[str]:
-    """Words of a name in any style: camel case, hyphens, underscores, brackets; none of an opaque code."""
-    if not name.strip() or _OPAQUE.match(name):
-        return []
-    return [w for w in re.findall(r"[^\W\d_]+", _SPLIT.sub(" ", name).lower()) if w not in _FILLER]
+    """Words of a name in any style: camel case, hyphens, underscores, brackets."""
+    return [w for w in _WORD.findall(_SPLIT.sub(" ", name).lower()) if w not in _FILLER]
 
 
 def record(name: str | None, comment: str | None, attributes: list | None) -> tuple[list[str], bool, list[float], list[str], list[float], list[str]]:
-    """(name words, whether they come from the name, numbers told, words around them, attribute numbers, other attribute values)."""
-    words, own = words_of(name or ""), True
-    told, around = facts(comment) if comment else ([], [])
-    if not words and comment:
-        own = False
-        for p in _INTROS:
-            if m := p.match(comment):
-                words = words_of(" ".join(m.groups()))
-                break
+    """(name words, whether a long number stands beside them, numbers told, words told, attribute numbers, other attribute values)."""
+    told, said = facts(comment) if comment else ([], [])
     numbers, values = [], []
-    for _, v in attributes or []:
+    for v in attributes or []:
         if v is None or not v.strip():
             continue
         n = number(v)
@@ -86,7 +73,7 @@ def record(name: str | None, comment: str | None, attributes: list | None) -> tu
             numbers.append(n)
         else:
             values.append(plain)
-    return words, own, told, sorted(set(around)), sorted(set(numbers)), sorted(set(values))
+    return words_of(name or ""), bool(re.search(r"\d{3}", name or "")), told, list(dict.fromkeys(said)), sorted(set(numbers)), sorted(set(values))
 
 
 def near_words(word: str) -> set[str]:
@@ -137,6 +124,29 @@ def _one_slip(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
+class Lexicon:
+    """What the whole table says of words: how often names and descriptions use them, and which only introduce serial numbers."""
+
+    def __init__(self, used: list[tuple[str, int, int, int]]):
+        self.names = {w: n for w, n, _, _ in used if n}
+        self.place = {w: i for i, (w, _, _, _) in enumerate(used)}
+        total = max(1, sum(n + c for _, n, c, _ in used))
+        self.idf = np.array([np.log(1 + total / (1 + n + c)) for _, n, c, _ in used] or [1.0], np.float32)
+        self.serial = {w for w, n, _, s in used if n >= 5 and s >= 0.9 * n}
+        self.naming = {w for w, n, c, _ in used if n > 0.3 * (n + c)} - self.serial
+        self.words = Words(self.names)
+
+    def name(self, words: list[str], coded: bool, said: list[str]) -> tuple[str, ...]:
+        """The plain words of a record's name, sorted; of a nameless one those words of its description that names are made of."""
+        own = [w for w in words if not coded or w not in self.serial]
+        plain = {self.words.plain(w) for w in own} if own else {w for w in said if w in self.naming}
+        return tuple(sorted(plain))
+
+    def rarity(self, word: str) -> float:
+        i = self.place.get(word)
+        return float(self.idf.max() if i is None else self.idf[i])
+
+
 def seeded(token: str, dim: int = DIM) -> np.ndarray:
     """A token's starting vector: the same in every worker."""
     import xxhash
@@ -144,8 +154,9 @@ def seeded(token: str, dim: int = DIM) -> np.ndarray:
     return np.random.default_rng(xxhash.xxh64_intdigest(token)).standard_normal(dim).astype(np.float32)
 
 
-def train(pairs: list[tuple[str, str, int]], dim: int = DIM, steps: int = 400, batch: int = 4096, negatives: int = 5, rate: float = 0.15) -> dict[str, np.ndarray]:
-    """Skip-gram vectors with negative samples, from how often words met on the walks."""
+def train(pairs: list[tuple[str, str, int]], dim: int = DIM, steps: int = 600, batch: int = 4096, negatives: int = 5, rate: float = 0.15) -> dict[str, np.ndarray]:
+    """Skip-gram vectors with negative samples, from how often words met on the walks; a word's vector is the sum of its two roles."""
+    pairs = telling(pairs)
     words = sorted({w for a, b, _ in pairs for w in (a, b)})
     if not words:
         return {}
@@ -177,208 +188,214 @@ def train(pairs: list[tuple[str, str, int]], dim: int = DIM, steps: int = 400, b
         g[:, 0] += 1
         move(left, slow[0], i, np.einsum("bk,bkd->bd", g, y))
         move(right, slow[1], j.ravel(), (g[:, :, None] * x[:, None, :]).reshape(-1, dim))
-    return {w: left[at[w]] for w in words}
+    return dict(zip(words, spread(left + right, np.bincount(a, weights=n, minlength=len(words)))))
+
+
+def telling(pairs: list[tuple[str, str, int]], times: float = 2.0) -> list[tuple[str, str, int]]:
+    """Pairs that met more than ``times`` as often as their words' own frequencies make them meet by chance."""
+    left, right = Counter(), Counter()
+    for a, b, n in pairs:
+        left[a] += n
+        right[b] += n
+    total = sum(left.values())
+    return [(a, b, n) for a, b, n in pairs if n * total > times * left[a] * right[b]]
+
+
+def spread(vectors: np.ndarray, counts: np.ndarray, directions: int = 2) -> np.ndarray:
+    """Unit vectors without what all of them share: the mean and the main directions of the most frequent words."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    if len(unit) < 4 * directions + 2:
+        return unit
+    common = unit[np.argsort(-counts, kind="stable")[:1000]]
+    mean = common.mean(0)
+    main = np.linalg.svd(common - mean, full_matrices=False)[2][:directions]
+    out = unit - mean
+    out = out - (out @ main.T) @ main
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-_RECORD = "track string, tax string, id string, words array<string>, own boolean, told array<double>, around array<string>, numbers array<double>, others array<string>"
-_RECORD_SCHEMA = pa.schema([("track", pa.string()), ("tax", pa.string()), ("id", pa.string()), ("words", pa.list_(pa.string())), ("own", pa.bool_()), ("told", pa.list_(pa.float64())), ("around", pa.list_(pa.string())), ("numbers", pa.list_(pa.float64())), ("others", pa.list_(pa.string()))])
+_RECORD = "track string, tax string, id string, words array<string>, coded boolean, told array<double>, said array<string>, numbers array<double>, others array<string>"
+_RECORD_SCHEMA = pa.schema([("track", pa.string()), ("tax", pa.string()), ("id", pa.string()), ("words", pa.list_(pa.string())), ("coded", pa.bool_()), ("told", pa.list_(pa.float64())), ("said", pa.list_(pa.string())), ("numbers", pa.list_(pa.float64())), ("others", pa.list_(pa.string()))])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
 
 
 def _parsed(records: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = [b.column(k).to_pylist() for k in range(6)]
-            rows = [(t, x, i, *record(n, m, a)) for t, x, i, n, m, a in zip(*c)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(_RECORD_SCHEMA)], schema=_RECORD_SCHEMA)
+            yield _batch([(t, x, i, *record(n, m, a)) for t, x, i, n, m, a in zip(*[b.column(k).to_pylist() for k in range(6)])], _RECORD_SCHEMA)
+
+    return records.select("track", "tax", "id", "name", "comment", F.map_values("attributes").alias("attributes")).mapInArrow(run, _RECORD)
 
-    return records.select("track", "tax", "id", "name", "comment", F.map_entries("attributes").alias("attributes")).mapInArrow(run, _RECORD)
 
+def _lexicon(rows: DataFrame) -> list[tuple[str, int, int, int]]:
+    """(word, uses in names, uses in descriptions, uses in names with a long number) of the most frequent words."""
+    named = rows.select(F.explode("words").alias("w"), F.lit(1).alias("n"), F.lit(0).alias("c"), F.col("coded").cast("int").alias("s"))
+    told = rows.select(F.explode("said").alias("w"), F.lit(0).alias("n"), F.lit(1).alias("c"), F.lit(0).alias("s"))
+    used = named.unionByName(told).groupBy("w").agg(*[F.sum(k).alias(k) for k in "ncs"])
+    return [tuple(r) for r in used.orderBy(F.desc(F.col("n") + F.col("c")), "w").limit(VOCABULARY).collect()]
 
-def _walk_pairs(rows: DataFrame, words: dict[str, int], walks: int, length: int) -> DataFrame:
+
+def _walk_pairs(rows: DataFrame, know, walks: int, length: int) -> DataFrame:
     """``a``, ``b``, ``n``: how often words meet on random walks over records, their attributes and their tokens.
 
-    A walk goes from a record by one of its attributes (name, description, attribute values) to one
-    of that attribute's tokens, from there to another record of the same track that has the token,
-    and so on; each record on it shows its name words. A task walks over whole stretches of a track.
+    A walk goes from a record by one of its attributes (name, description, attribute values) to a
+    token there, the rarer the likelier, from the token to a record of the same track that has it,
+    too, and so on. Where two records of a walk show different words, these
+    meet. A task walks over one stretch of a track at a time; each round of walks cuts
+    large tracks into other stretches, by another hash, so any two records can meet.
     """
 
+    def walk(records: list[tuple], lexicon: Lexicon, met: Counter, rng: np.random.Generator) -> None:
+        shown = [lexicon.name(w, c, s) for w, c, _, s, _, _ in records]
+        # the attributes of a record, name, description and values, with their tokens
+        tokens = [[*[f"w:{x}" for x in shown[k]], *[f"f:{x:g}" for x in told], *[f"n:{x:g}" for x in numbers], *[f"v:{x}" for x in others]] for k, (_, _, told, _, numbers, others) in enumerate(records)]
+        holders: dict[str, list[int]] = {}
+        for k, own in enumerate(tokens):
+            for x in set(own):
+                holders.setdefault(x, []).append(k)
+        ways = []
+        for own in tokens:
+            own = [x for x in own if len(holders[x]) > 1]
+            weight = np.cumsum([(len(holders[x]) - 1) ** -1.5 for x in own])
+            ways.append((own, weight / weight[-1] if own else weight))
+        for start in range(len(records)):
+            at, seen = start, []
+            for u, v in rng.random((length, 2)):
+                seen.append(set(shown[at]))
+                own, weight = ways[at]
+                if not own:
+                    break
+                there = holders[own[min(int(np.searchsorted(weight, u)), len(own) - 1)]]
+                at = there[int(v * len(there))]
+            for i in range(len(seen)):
+                for j in range(max(0, i - 2), min(len(seen), i + 3)):
+                    if i != j:
+                        met.update((x, y) for x in seen[i] - seen[j] for y in seen[j] - seen[i])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = Words(words).plain
-        rng = np.random.default_rng(11)
-        met: Counter = Counter()
+        lexicon, rng, met, now, some = Lexicon(know.value), np.random.default_rng(11), Counter(), None, []
         for b in batches:
-            t, w, told, numbers, others = (b.column(b.schema.get_field_index(k)).to_pylist() for k in ("track", "words", "told", "numbers", "others"))
-            tokens = [[[f"w:{plain(x)}" for x in w[k]], [f"f:{x:g}" for x in told[k]], [f"n:{x:g}" for x in numbers[k]] + [f"v:{x}" for x in others[k]]] for k in range(len(t))]
-            holders: dict[tuple[str, str], list[int]] = {}
-            for k in range(len(t)):
-                for x in {y for attribute in tokens[k] for y in attribute}:
-                    holders.setdefault((t[k], x), []).append(k)
-            for start in range(len(t)):
-                for _ in range(walks):
-                    at, seen = start, []
-                    for _ in range(length):
-                        seen.append([plain(x) for x in w[at]])
-                        full = [x for x in tokens[at] if x]
-                        if not full:
-                            break
-                        attribute = full[rng.integers(len(full))]
-                        others_ = holders[t[at], attribute[rng.integers(len(attribute))]]
-                        at = others_[rng.integers(len(others_))]
-                    for i in range(len(seen)):
-                        for j in range(max(0, i - 2), min(len(seen), i + 3)):
-                            met.update((x, y) for x in seen[i] for y in seen[j] if x != y)
+            for key, *r in zip(*[b.column(b.schema.get_field_index(k)).to_pylist() for k in ("stretch", "words", "coded", "told", "said", "numbers", "others")]):
+                if key != now:
+                    walk(some, lexicon, met, rng)
+                    now, some = key, []
+                some.append(tuple(r))
             if len(met) > 500_000:
                 yield _met(met)
                 met = Counter()
+        walk(some, lexicon, met, rng)
         yield _met(met)
 
-    return rows.mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rounds = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(walks))))
+    cut = rounds.withColumn("stretch", F.xxhash64("track", "round", F.pmod(F.xxhash64("id", "round"), F.ceil(F.col("n") / STRETCH))))
+    walked = cut.repartition(tasks(rows.sparkSession), "stretch").sortWithinPartitions("stretch", "id").mapInArrow(run, "a string, b string, n bigint")
+    return walked.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _met(met: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in met], pa.string()), pa.array([k[1] for k in met], pa.string()), pa.array(list(met.values()), pa.int64())], names=["a", "b", "n"])
 
 
-class Scorer:
-    """What every worker knows: spellings, synonyms, vectors."""
-
-    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray], synonyms: dict[tuple[str, ...], tuple[str, ...]]):
-        self.words, self.vectors, self.synonyms = Words(counts), vectors, synonyms
-        self.longest = max(map(len, synonyms), default=1)
-        self.total = max(1, sum(counts.values()))
-        self.memory: dict[tuple, tuple[str, ...]] = {}
-        self.cache: OrderedDict[str, np.ndarray] = OrderedDict()
-
-    def canon(self, words: list[str]) -> tuple[str, ...]:
-        """Plain words with known phrases led to one of their kind, in order of spelling."""
-        key = tuple(words)
-        if key not in self.memory:
-            if len(self.memory) > 200_000:
-                self.memory.clear()
-            left = [self.words.plain(w) for w in words]
-            bag = set(left)
-            for phrase, other in self.synonyms.items() if len(bag) <= 8 and self.synonyms else ():
-                if bag.issuperset(phrase):
-                    bag = (bag - set(phrase)) | set(other)
-            self.memory[key] = tuple(sorted(bag))
-        return self.memory[key]
-
-    def vector(self, token: str) -> np.ndarray:
-        v = self.cache.get(token)
-        if v is None:
-            v = self.vectors.get(token[2:]) if token.startswith("w:") else None
-            v = seeded(token) if v is None else 0.7 * v / max(1e-9, float(np.linalg.norm(v))) + 0.3 * seeded(token) / np.sqrt(DIM)
-            v = v / max(1e-9, float(np.linalg.norm(v)))
-            self.cache[token] = v
-            if len(self.cache) > 100_000:
-                self.cache.popitem(last=False)
-        return v
-
-    def views(self, words: list[str], told: list[float], numbers: list[float], canonical: bool = False) -> dict[str, np.ndarray]:
-        """A record's vectors by what they show: name, told numbers, attribute numbers."""
-        out = {}
-        if name := words if canonical else self.canon(words):
-            out["n"] = np.sum([self.vector(f"w:{x}") * np.log(1 + self.total / (1 + self.words.counts.get(x, 0))) for x in name], 0)
-        if told:
-            out["f"] = np.sum([self.vector(f"f:{x:g}") for x in told], 0)
-        if len(numbers) >= 2:
-            out["a"] = np.sum([self.vector(f"n:{x:g}") for x in numbers], 0)
-        return out
+_SHOWN = "track string, tax string, id string, n bigint, name string, size int, vec array<float>, told string, known int, said array<int>, numbers array<double>, others array<bigint>"
+_SHOWN_SCHEMA = pa.schema([("track", pa.string()), ("tax", pa.string()), ("id", pa.string()), ("n", pa.int64()), ("name", pa.string()), ("size", pa.int32()), ("vec", pa.list_(pa.float32())), ("told", pa.string()), ("known", pa.int32()), ("said", pa.list_(pa.int32())), ("numbers", pa.list_(pa.float64())), ("others", pa.list_(pa.int64()))])
 
 
-#: Boards that blocks belong to, by view: equal names and a sample of like ones, the other like names, told numbers, attribute numbers.
-_BOARD = {"n": 0, "m": 1, "f": 100, "a": 200}
-#: The least cosine of names that lets a pair through by itself.
-NEAR = 0.75
+def name_vector(name: tuple[str, ...], lexicon: Lexicon, vectors: dict[str, np.ndarray], cache: dict[str, np.ndarray]) -> np.ndarray | None:
+    """Unit vector of a name: its words' trained vectors, each kept apart by a share of its own, by rarity."""
+    if not name:
+        return None
+    out = np.zeros(DIM, np.float32)
+    for w in name:
+        if w not in cache:
+            if len(cache) > 100_000:
+                cache.clear()
+            own = seeded(w) / np.sqrt(DIM)
+            v = 0.9 * vectors[w] + 0.1 * own if w in vectors else own
+            cache[w] = lexicon.rarity(w) * v / max(1e-9, float(np.linalg.norm(v)))
+        out += cache[w]
+    return out / max(1e-9, float(np.linalg.norm(out)))
 
 
-def _named(rows: DataFrame, know) -> DataFrame:
-    """Adds ``canon``: the canonical name, blank where there is none."""
-    schema = pa.schema([*_RECORD_SCHEMA, ("canon", pa.string())])
+def _shown(rows: DataFrame, know, learned) -> DataFrame:
+    """Each record once with its name, the name's vector, and its other evidence in a form that compares fast."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*know.value)
+        import xxhash
+
+        lexicon, vectors, cache = Lexicon(know.value), learned.value, {}
         for b in batches:
-            c = [b.column(b.schema.get_field_index(f)) for f in _RECORD_SCHEMA.names]
-            words = c[_RECORD_SCHEMA.names.index("words")].to_pylist()
-            yield pa.RecordBatch.from_arrays([*c, pa.array([" ".join(scorer.canon(w)) for w in words], pa.string())], schema=schema)
+            out = []
+            for track, tax, id, words, coded, told, said, numbers, others, n in zip(*[b.column(b.schema.get_field_index(k)).to_pylist() for k in (*_RECORD_SCHEMA.names, "n")]):
+                name = lexicon.name(words, coded, said)
+                vec = name_vector(name, lexicon, vectors, cache)
+                context = [lexicon.place[w] for w in said if w in lexicon.place and w not in lexicon.naming]
+                out.append((track, tax, id, n, " ".join(name), len(name), vec, ",".join(f"{x:g}" for x in told), len(told), context, numbers, [xxhash.xxh64_intdigest(x) - 2**63 for x in others]))
+            yield _batch(out, _SHOWN_SCHEMA)
+
+    return rows.mapInArrow(run, _SHOWN)
+
+
+def tables_of(n: int) -> tuple[int, int]:
+    """(bits of a code, number of tables) for ``n`` records: blocks stay about ``BLOCK`` records, and names of cosine ``NEAR`` share a table with chance ``MEET`` at any size."""
+    bits = max(2, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
+    p = (1 - np.arccos(NEAR) / np.pi) ** bits
+    return bits, int(np.ceil(np.log(1 - MEET) / np.log(1 - p)))
+
 
-    return rows.mapInArrow(run, _RECORD + ", canon string")
+def codes(vectors: np.ndarray, bits: int, table: int) -> np.ndarray:
+    """Codes of one table: on which side of each of its random hyperplanes a vector lies."""
+    planes = np.random.default_rng([17, table]).standard_normal((vectors.shape[1], bits)).astype(np.float32)
+    return ((vectors @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _near_names(named: DataFrame, know, cell: int) -> DataFrame:
-    """``track``, ``x``, ``y``: all pairs of different canonical names of a track whose cosine is at least ``NEAR``, by exact comparison.
+#: Boards of blocks: told numbers, pairs of attribute numbers, then one for each hyperplane table of names.
+_TOLD, _NUMBERS, _NAMES = 0, 1, 2
 
-    Distinct names of a track are compared in cells, each a product of two bounded matrices.
+
+def _coded(rows: DataFrame, tables: int | None = None) -> DataFrame:
+    """Each record once for each block it belongs to: ``board``, ``code``.
+
+    Records meet in a block of a hyperplane table over their names' vectors (at most ``tables`` of
+    them), if they tell the same numbers, or if they have two attribute numbers in common.
     """
-    names = named.filter("canon <> ''").select("track", F.lit(0).alias("board"), F.lit(0).cast("bigint").alias("code"), F.col("canon").alias("id")).distinct()
-    keys = ["track", "ci", "cj"]
+    schema = pa.schema([*_SHOWN_SCHEMA, ("board", pa.int32()), ("code", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*know.value)
-        now, block = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            track, ci, cj = now
-            rows = [r for r in block if r[1] == ci]
-            columns = rows if ci == cj else [r for r in block if r[1] == cj]
-            if not rows or not columns:
-                return
-            left, right = (np.stack([v / max(1e-9, float(np.linalg.norm(v))) for v in (scorer.views(n.split(" "), [], [], canonical=True)["n"] for n, _ in side)]) for side in (rows, columns))
-            i, j = np.nonzero(left @ right.T >= NEAR - 1e-4)  # the exact comparison of records settles the last digits
-            if ci == cj:
-                i, j = i[i < j], j[i < j]
-            pairs = [sorted((rows[p][0], columns[q][0])) for p, q in zip(i, j)]
-            for k in range(0, len(pairs), 50_000):
-                part = pairs[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([track] * len(part), pa.string()), pa.array([x for x, _ in part], pa.string()), pa.array([y for _, y in part], pa.string())], names=["track", "x", "y"])
+        import xxhash
 
+        key = lambda x: xxhash.xxh64_intdigest(x) - 2**63
         for b in batches:
-            c = [b.column(b.schema.get_field_index(k)).to_pylist() for k in ("track", "ci", "cj", "id", "part")]
-            for track, ci, cj, id, part in zip(*c):
-                if (track, ci, cj) != now:
-                    if now:
-                        yield from flush()
-                    now, block = (track, ci, cj), []
-                block.append((id, part))
-        if now:
-            yield from flush()
-
-    cells = _cells(names, cell).select("track", "ci", "cj", "id", "part")
-    return cells.repartition(tasks(named.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "track string, x string, y string")
-
-
-def _coded(rows: DataFrame, views: str, near: DataFrame | None = None) -> DataFrame:
-    """Each record once for each block it belongs to: ``board``, ``code``, and ``side``.
-
-    Records meet if they tell the same numbers (view f), have two attribute numbers in common (a),
-    or names that are equal or among the pairs ``near`` (n). In blocks of two names only records of
-    different sides meet; elsewhere ``side`` is -1.
-    """
-    whole = F.lit(-1)
-
-    def block(board: Column, code: Column, side: Column = whole) -> Column:
-        return F.struct(board.cast("int").alias("board"), code.alias("code"), side.alias("side"))
-
-    blocks = []
-    if "f" in views:
-        told = F.concat_ws(",", F.transform("told", lambda x: x.cast("string")))
-        blocks.append(F.when(F.size("told") > 0, F.array(block(F.lit(_BOARD["f"]), F.xxhash64(told)))))
-    if "a" in views:
-        # the numbers of a record are sorted and distinct
-        two = F.flatten(F.transform("numbers", lambda x, i: F.transform(F.filter("numbers", lambda y: y > x), lambda y: block(F.lit(_BOARD["a"]), F.xxhash64(x, y)))))
-        blocks.append(F.when(F.size("numbers") >= 2, two))
-    if "n" in views:
-        code = F.xxhash64("x", "y")
-        board = F.when(F.pmod(code, F.lit(4)) == 0, _BOARD["n"]).otherwise(_BOARD["m"])  # a sample of like names is enough to learn from
-        ends = F.explode(F.array(F.struct(F.col("x").alias("canon"), F.lit(0).alias("side")), F.struct(F.col("y").alias("canon"), F.lit(1).alias("side"))))
-        others = near.select("track", board.alias("board"), code.alias("code"), ends.alias("e")).groupBy("track", F.col("e.canon").alias("canon")).agg(F.collect_list(block(F.col("board"), F.col("code"), F.col("e.side"))).alias("near_blocks"))
-        rows = rows.join(others, ["track", "canon"], "left")
-        blocks.append(F.when(F.col("canon") != "", F.array(block(F.lit(_BOARD["n"]), F.xxhash64("canon")))))
-        blocks.append(F.col("near_blocks"))
-    none = F.array().cast("array<struct<board:int,code:bigint,side:int>>")
-    each = F.explode(F.concat(*[F.coalesce(b, none) for b in blocks])).alias("_b")
-    return rows.select(*_RECORD_SCHEMA.names, each).select(*_RECORD_SCHEMA.names, "_b.board", "_b.code", "_b.side")
+            at: list[np.ndarray] = []
+            board: list[np.ndarray] = []
+            code: list[np.ndarray] = []
+
+            def add(rows_: list[int] | np.ndarray, board_: int, codes_: list[int] | np.ndarray) -> None:
+                at.append(np.asarray(rows_, np.int64))
+                board.append(np.full(len(rows_), board_, np.int32))
+                code.append(np.asarray(codes_, np.int64))
+
+            told, numbers = b.column(b.schema.get_field_index("told")).to_pylist(), b.column(b.schema.get_field_index("numbers")).to_pylist()
+            some = [i for i, x in enumerate(told) if x]
+            add(some, _TOLD, [key(told[i]) for i in some])
+            two = [(i, key(f"{x:g} {y:g}")) for i, v in enumerate(numbers) for k, x in enumerate(v) for y in v[k + 1 :]]
+            add([i for i, _ in two], _NUMBERS, [c for _, c in two])
+            n = b.column(b.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
+            named = np.flatnonzero(b.column(b.schema.get_field_index("size")).to_numpy(zero_copy_only=False) > 0)
+            vec = b.column(b.schema.get_field_index("vec")).take(pa.array(named)).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
+            for size in np.unique(n[named]):
+                own = n[named] == size
+                bits, count = tables_of(int(size))
+                for t in range(count if tables is None else min(count, tables)):
+                    add(named[own], _NAMES + t, codes(vec[own], bits, t))
+            order, boards, codes_ = np.concatenate(at), np.concatenate(board), np.concatenate(code)
+            for k in range(0, len(order), 20_000):
+                part = b.take(pa.array(order[k : k + 20_000]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(boards[k : k + 20_000]), pa.array(codes_[k : k + 20_000])], schema=schema)
+
+    return rows.select(*_SHOWN_SCHEMA.names).mapInArrow(run, _SHOWN + ", board int, code bigint")
 
 
 def _cells(coded: DataFrame, cell: int) -> DataFrame:
@@ -393,140 +410,187 @@ def _cells(coded: DataFrame, cell: int) -> DataFrame:
     return known.withColumn("ci", F.least("part", "other")).withColumn("cj", F.greatest("part", "other")).drop("other", "parts")
 
 
-_PAIR = pa.schema([("a", pa.string()), ("b", pa.string()), ("tax_a", pa.string()), ("tax_b", pa.string()), ("words_a", pa.list_(pa.string())), ("words_b", pa.list_(pa.string())), ("told_a", pa.string()), ("told_b", pa.string()), ("known", pa.int32()), ("same", pa.int32()), ("equal", pa.float64()), ("cosine", pa.float64()), ("shared", pa.int32()), ("clash", pa.int32()), ("alike", pa.float64()), ("units", pa.int32())])
-_PAIR_SQL = "a string, b string, tax_a string, tax_b string, words_a array<string>, words_b array<string>, told_a string, told_b string, known int, same int, equal double, cosine double, shared int, clash int, alike double, units int"
-
-
-def _compared(cells: DataFrame, know, facts_only: bool) -> DataFrame:
-    """Pairs of one cell from different sources, with their exact evidence; hopeless ones are left out."""
-
-    def rate(scorer: Scorer, p: tuple, q: tuple, board: int) -> tuple | None:
-        both = bool(p["told"]) and bool(q["told"])
-        same = both and p["told"] == q["told"]
-        if both and not same and (facts_only or board != _BOARD["n"]):  # told numbers decide; where they differ, a sample of like names is enough to learn from
-            return None
-        shared = len(p["numbers"] & q["numbers"])
-        clash = int(bool(p["numbers"]) and bool(q["numbers"]) and not shared)
-        x, y = p["canon"], q["canon"]
-        equal = float(bool(x) and x == y) * (1.0 if p["own"] and q["own"] else 0.8)
-        common = len(set(x) & set(y))
-        if not same and not equal and shared < 2 and not (common and shared):
-            if both or p["vector"] is None or q["vector"] is None:
-                return None
-        cosine = 0.0 if p["vector"] is None or q["vector"] is None else float(p["vector"] @ q["vector"])
-        if not same and not equal and shared < 2 and cosine < NEAR:
-            return None
-        union = len(p["others"] | q["others"])
-        units = len(p["around"] & q["around"])
-        return (int(both), int(same), equal, cosine, shared, clash, len(p["others"] & q["others"]) / union if union else 0.0, 10 * common + units)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*know.value)
-        out: list[tuple] = []
-        block: list[dict] = []
-        now = None
-
-        def flush() -> None:
-            _, board, _, ci, cj = now
-            sides = [q for q in block if q["side"] == 0]
-            for i, p in enumerate(block):
-                for q in block[:i] if p["side"] < 0 else sides if p["side"] else ():
-                    if p["tax"] == q["tax"] or ci != cj and p["part"] == q["part"]:
-                        continue
-                    x, y = (p, q) if p["id"] < q["id"] else (q, p)
-                    if (r := rate(scorer, x, y, board)) is not None:
-                        out.append((x["id"], y["id"], x["tax"], y["tax"], x["words"], y["words"], x["key"], y["key"], *r))
+class Block:
+    """Columns of rows sorted by block, as arrays, and the evidence of pairs of them."""
+
+    def __init__(self, t: pa.Table, idf: np.ndarray):
+        get = lambda k: t.column(k).combine_chunks()
+        self.idf = np.append(idf, np.float32(0))
+        self.block, self.part = get("block").to_numpy(), get("part").to_numpy()
+        self.within = get("ci").to_numpy() == get("cj").to_numpy()
+        self.board, self.size, self.known = get("board").to_numpy(), get("size").to_numpy(), get("known").to_numpy()
+        self.id, self.tax, self.told = (np.array(get(k).to_pylist(), object) for k in ("id", "tax", "told"))
+        self.place = {k: np.unique(np.array(get(k).to_pylist(), str), return_inverse=True)[1] for k in ("track", "tax", "name", "told", "id")}
+        self.vec = np.zeros((len(self.id), DIM), np.float32)
+        has = self.size > 0
+        self.vec[has] = get("vec").take(pa.array(np.flatnonzero(has))).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
+        self.numbers, self.others, self.said = self._padded(get("numbers"), np.nan, float), self._padded(get("others"), 0, np.int64), self._padded(get("said"), -1, np.int64)
+        self.count = {"numbers": (~np.isnan(self.numbers)).sum(1), "others": (self.others != 0).sum(1)}
+
+    @staticmethod
+    def _padded(lists: pa.Array, empty: float, kind: type) -> np.ndarray:
+        sizes = np.diff(lists.offsets.to_numpy())
+        out = np.full((len(lists), max(1, int(sizes.max(initial=0)))), empty, kind)
+        row = np.repeat(np.arange(len(lists)), sizes)
+        out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
+        return out
 
-        for b in batches:
-            c = [b.column(b.schema.get_field_index(k)).to_pylist() for k in ("track", "board", "code", "ci", "cj", "tax", "id", "words", "own", "told", "around", "numbers", "others", "part", "side")]
-            for track, board, code, ci, cj, tax, id, words, own, told, around, numbers, others, part, side in zip(*c):
-                if (track, board, code, ci, cj) != now:
-                    if len(block) > 1:
-                        flush()
-                    now, block = (track, board, code, ci, cj), []
-                view = scorer.views(words, [], []).get("n")
-                block.append({"tax": tax, "id": id, "words": words, "own": own, "told": told, "around": set(around), "numbers": set(numbers), "others": set(others), "part": part, "side": side, "canon": scorer.canon(words), "vector": None if view is None else view / max(1e-9, float(np.linalg.norm(view))), "key": ",".join(f"{x:g}" for x in told)})
-                if len(out) > 20_000:
-                    yield _table(out)
-                    out.clear()
-        if len(block) > 1:
-            flush()
-        yield _table(out)
-
-    keys = ["track", "board", "code", "ci", "cj"]
-    return cells.repartition(tasks(cells.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, _PAIR_SQL)
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(_PAIR)], schema=_PAIR)
-
-
-def learn_synonyms(spark: SparkSession, sure: DataFrame, counts: dict[str, int]) -> dict[tuple[str, ...], tuple[str, ...]]:
-    """Phrases that stand for each other, from pairs that told numbers decide and whose names share a word.
-
-    What is left of both names when shared words are taken off is one use of the pair of phrases;
-    pairs used often enough, against all uses of either phrase, are synonyms. Each phrase leads to
-    the most frequent one of its kind.
-    """
+    def pairs(self, most: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the rows of all pairs to compare, in bounded portions."""
+        ends = np.searchsorted(self.block, self.block, side="right")
+        left = ends - np.arange(len(ends)) - 1
+        begin = 0
+        while begin < len(left):
+            done = np.cumsum(left[begin:])
+            stop = begin + max(1, int(np.searchsorted(done, most, side="right")))
+            n = left[begin:stop]
+            i = np.repeat(np.arange(begin, stop), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            ok = (self.place["tax"][i] != self.place["tax"][j]) & (self.place["track"][i] == self.place["track"][j]) & (self.board[i] == self.board[j]) & (self.within[i] | (self.part[i] != self.part[j]))
+            ok &= (self.board[i] <= _NAMES) | (self.place["name"][i] != self.place["name"][j])  # equal names have met in the first table
+            yield i[ok], j[ok]
+            begin = stop
+
+    def evidence(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(columns of view X: names and attributes, columns of view Z: descriptions, 1 if told numbers agree, -1 if they differ, else 0)."""
+        named = (self.size[i] > 0) & (self.size[j] > 0)
+        equal = named & (self.place["name"][i] == self.place["name"][j])
+        cosine = np.where(named, np.einsum("nd,nd->n", self.vec[i], self.vec[j]), 0.0)
+        short = named & (np.minimum(self.size[i], self.size[j]) < 2)
+        shared = (self.numbers[i][:, :, None] == self.numbers[j][:, None, :]).any(2).sum(1)
+        clash = (self.count["numbers"][i] > 0) & (self.count["numbers"][j] > 0) & (shared == 0)
+        both = (self.others[i][:, :, None] == self.others[j][:, None, :]).any(2) & (self.others[i] != 0)
+        union = self.count["others"][i] + self.count["others"][j] - both.sum(1)
+        alike = np.where(union > 0, both.sum(1) / np.maximum(union, 1), 0.0)
+        unlike = (self.count["others"][i] > 0) & (self.count["others"][j] > 0) & (both.sum(1) == 0)
+        x = np.stack([named & (cosine < 0.4), *[named & (cosine >= c) for c in STEPS], equal, short, shared >= 1, shared >= 2, clash, alike, unlike], 1).astype(float)
+        si, sj = self.said[i], self.said[j]
+        hit = (si[:, :, None] == sj[:, None, :]).any(2) & (si >= 0)
+        weight = np.where(hit, self.idf[si], 0).sum(1)
+        least = np.minimum(np.where(si >= 0, self.idf[si], 0).sum(1), np.where(sj >= 0, self.idf[sj], 0).sum(1))
+        k = np.minimum(self.known[i], self.known[j])
+        z = np.stack([np.where(least > 0, weight / np.maximum(least, 1e-6), 0), np.minimum(weight, 20) / 10, k >= 2], 1).astype(float)
+        told = np.where(k == 0, 0, np.where(self.place["told"][i] == self.place["told"][j], 1, -1))
+        return x, z, told
+
+
+#: Lower ends of the steps of a cosine's calibration.
+STEPS = (0.5, 0.6, 0.7, 0.8, 0.9)
+_X = ["far", *[f"cos{c}" for c in STEPS], "equal", "short", "shared1", "shared2", "clash", "alike", "unlike"]
+#: Columns whose weight has a known sign: more of it can't speak the other way.
+_OF_NAMES = {"far", *[f"cos{c}" for c in STEPS], "equal", "short"}
+_RISING, _FALLING = {*[f"cos{c}" for c in STEPS], "equal", "shared1", "shared2", "alike"}, {"far", "short", "clash", "unlike"}
+
+
+def _compared(spark: SparkSession, cells: DataFrame, idf, weights: dict | None, accept: float = 0.5, some: int = 1) -> DataFrame:
+    """Pairs of records from different sources that share a cell: those accepted, with their confidence; without weights one in ``some``, with its evidence."""
+    sample = weights is None
+    kind = "told int, board int, a string, b string, " + ", ".join(f"x{k} double" for k in range(len(_X))) + ", z0 double, z1 double, z2 double" if sample else "a string, b string, tax_a string, tax_b string, told_a string, told_b string, confidence double"
+
+    def rate(b: Block) -> Iterator[pa.RecordBatch]:
+        for i, j in b.pairs():
+            if sample and some > 1:
+                keep = (b.place["id"][i] * 31 + b.place["id"][j] * 17) % some == 0
+                i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            x, z, told = b.evidence(i, j)
+            swap = b.id[i] > b.id[j]
+            p, q = np.where(swap, j, i), np.where(swap, i, j)
+            if sample:
+                yield pa.RecordBatch.from_arrays([pa.array(told.astype(np.int32)), pa.array(b.board[i].astype(np.int32)), pa.array(b.id[p], pa.string()), pa.array(b.id[q], pa.string()), *[pa.array(x[:, k]) for k in range(x.shape[1])], *[pa.array(z[:, k]) for k in range(3)]], names=[f.split()[0] for f in kind.split(", ")])
+                continue
+            c = confidence(weights, x, z, told)
+            ok = c >= accept
+            p, q, c = p[ok], q[ok], c[ok]
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.string()) for v in (b.id[p], b.id[q], b.tax[p], b.tax[q], b.told[p], b.told[q])], pa.array(c)], names=[f.split()[0] for f in kind.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = Words(counts).plain
-        met: Counter = Counter()
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                p, q = {plain(w) for w in x}, {plain(w) for w in y}
-                common = p & q
-                left = tuple(sorted(p - common)), tuple(sorted(q - common))
-                if common and left[0] and left[1] and max(map(len, left)) <= 3:
-                    met[tuple(sorted(" ".join(z) for z in left))] += 1
-        yield _met(met)
-
-    used = sure.select("words_a", "words_b").mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n >= 2")
-    pairs = [(r.a, r.b, r.n) for r in used.orderBy(F.desc("n"), "a", "b").limit(MAX_SYNONYMS).collect()]
-    uses: Counter = Counter()
-    for a, b, n in pairs:
-        uses[a] += n
-        uses[b] += n
-    head = {}
+            held.append(b)
+            if sum(x.num_rows for x in held) < 20_000:
+                continue
+            t = pa.Table.from_batches(held)
+            block = t.column("block").to_numpy()
+            end = int(np.searchsorted(block, block[-1]))  # the last block may go on
+            if end:
+                yield from rate(Block(t.slice(0, end), idf.value))
+            held = t.slice(end).to_batches()
+        if held and (t := pa.Table.from_batches(held)).num_rows:
+            yield from rate(Block(t, idf.value))
+
+    rows = cells.withColumn("block", F.xxhash64("track", "board", "code", "ci", "cj")).drop("n")
+    return rows.repartition(tasks(spark), "block").sortWithinPartitions("block").mapInArrow(run, kind)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, names: list[str], ridge: float = 1.0) -> np.ndarray:
+    """Weights and, last, the constant, by Newton steps; a weight of the wrong sign is taken out and the rest fitted again."""
+    out = np.zeros(len(names) + 1)
+    use = list(range(len(names)))
+    while True:
+        a = np.concatenate([x[:, use], np.ones((len(x), 1))], 1)
+        w = np.zeros(a.shape[1])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            h = a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+            w -= np.linalg.solve(h, a.T @ (p - y) + ridge * np.append(w[:-1], 0.0))
+        wrong = [k for k, v in zip(use, w) if names[k] in _RISING and v < 0 or names[k] in _FALLING and v > 0]
+        if not wrong:
+            out[use], out[-1] = w[:-1], w[-1]
+            return out
+        use = [k for k in use if k not in wrong]
+
+
+def calibrate(sample: DataFrame) -> dict:
+    """Weights that turn cosines and other evidence into a confidence, from a bounded sample of compared pairs, hopeless ones included.
+
+    Each view is calibrated by the other. Names and attributes: on pairs that both tell numbers, by
+    whether these agree; once on pairs that met by name, whose attributes are as they come, and once
+    on pairs that met by attribute numbers, whose names are. Descriptions: on pairs that tell the same
+    numbers, by whether names or attributes plainly agree or plainly don't.
+    """
+    once = sample.dropDuplicates(["a", "b"])
+    columns, at = [f"x{k}" for k in range(len(_X))], {k: i for i, k in enumerate(_X)}
+    named = np.array([k in _OF_NAMES for k in _X])
+
+    def taken(condition: str):
+        return once.filter(condition).orderBy(F.xxhash64("a", "b")).limit(MAX_LABELLED).toPandas()
+
+    def fit(rows, use: np.ndarray, prior: list[float]) -> np.ndarray:
+        x, y = rows[columns].to_numpy(float) * use, (rows["told"] == 1).to_numpy(float)
+        return logistic(x, y, _X) if len(rows) >= 50 and 0 < y.mean() < 1 else np.array(prior) * np.append(use, True)
+
+    by_name, by_number, same = taken(f"told <> 0 and board >= {_NAMES}"), taken(f"told <> 0 and board = {_NUMBERS}"), taken("told = 1")
+    w = fit(by_name, np.ones(len(_X), bool), [0, 0.3, 0.5, 0.7, 0.7, 0.5, 0.5, -1.0, 1.5, 1.5, -2.0, 0.5, -1.0, -2.0])
+    v = fit(by_number, named, [-1.0, 0.5, 1.0, 1.0, 1.0, 0.5, 0.5, -1.0, 0, 0, 0, 0, 0, -2.0])
+    x = by_name[columns].to_numpy(float)
+    sure, agree = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))), (by_name["told"] == 1).to_numpy(float)
+    high, low = agree[sure > 0.9], agree[sure < 0.1]
+    m, u = (high.sum() + 1.0) / (len(high) + 1.05), (low.sum() + 1.0) / (len(low) + 100.0)
+    x, z = same[columns].to_numpy(float), same[["z0", "z1", "z2"]].to_numpy(float)
+    yes = (x[:, at["equal"]] > 0) & (x[:, at["short"]] == 0) | (x[:, at["shared2"]] > 0)
+    no = (x[:, at["far"]] > 0) & (x[:, at["shared1"]] == 0)
+    decided = yes | no
+    f = logistic(z[decided], yes[decided].astype(float), ["share", "weight", "several"]) if decided.sum() >= 50 and yes.any() and no.any() else np.array([2.0, 2.0, 1.0, -2.0])
+    return {"name": w, "number": v, "told": f, "both": np.where(named, v[:-1], w[:-1]), "differ": float(np.log((1 - m) / (1 - u)))}
+
+
+def confidence(k: dict, x: np.ndarray, z: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """0 to 1. Evidence of the views adds up; what a pair does not show adds nothing.
+
+    Where told numbers agree, that of descriptions, names and attributes; else the better of what is
+    calibrated for pairs that meet by name and for those that meet by attribute numbers.
+    """
+    at = {c: i for i, c in enumerate(_X)}
+    by_name = np.where(x[:, at[f"cos{STEPS[0]}"]] > 0, x @ k["name"][:-1] + k["name"][-1], -30.0)
+    by_number = np.where(x[:, at["shared2"]] > 0, x @ k["number"][:-1] + k["number"][-1], -30.0)
+    other = np.maximum(by_name, by_number) + np.where(told == -1, k["differ"], 0.0)
+    score = np.where(told == 1, z @ k["told"][:-1] + k["told"][-1] + x @ k["both"], other)
+    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
-    def find(x: str) -> str:
-        while head.get(x, x) != x:
-            x = head[x]
-        return x
 
-    for a, b, n in pairs:
-        if n >= max(2, 0.15 * min(uses[a], uses[b])):
-            x, y = find(a), find(b)
-            if x != y:
-                small, large = sorted((x, y), key=lambda z: (sum(counts.get(w, 0) for w in z.split()) / len(z.split()), z))
-                head[small] = large
-    out = {tuple(k.split()): tuple(find(k).split()) for k in head}
-    return dict(sorted(out.items(), key=lambda kv: (-len(kv[0]), kv[0])))
-
-
-def _features(c: dict) -> np.ndarray:
-    return np.stack([c["equal"], c["cosine"], np.minimum(c["shared"], 1), (c["shared"] >= 2) * 1.0, c["clash"], c["alike"]], 1).astype(float)
-
-
-def calibrate(pairs: DataFrame) -> tuple[np.ndarray, float]:
-    """Logistic weights that turn a pair's scores into a confidence, from pairs that told numbers decide (a bounded sample)."""
-    rows = pairs.filter("known = 1").orderBy(F.xxhash64("a", "b")).select("same", "equal", "cosine", "shared", "clash", "alike").limit(MAX_LABELLED).toPandas()
-    prior = np.array([2.5, 1.0, 2.0, 2.0, -4.0, 0.5])
-    if len(rows) < 50 or rows["same"].nunique() < 2:
-        return prior, -1.8
-    x, y = _features(rows), rows["same"].to_numpy(float)
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    start = np.append(prior, -1.8)
-    w = start.copy()
-    for _ in range(30):  # Newton steps, held near the prior by a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + 2.0 * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) + 2.0 * (w - start))
-    w, b = w[:-1], w[-1]
-    return w, float(b)
-
-
-def match_entities(spark: SparkSession, nodes: DataFrame, groups: DataFrame, accept: float = 0.5, walks: int = 2, length: int = 4, cell: int = CELL) -> DataFrame:
+def match_entities(spark: SparkSession, nodes: DataFrame, groups: DataFrame, accept: float = 0.5, walks: int = 4, length: int = 4, cell: int = CELL, trained: bool = True) -> DataFrame:
     """``node_id_a``, ``node_id_b``, ``confidence``: records of different sources of one track that mean the same, the smaller id first.
 
     ``nodes`` has ``tax``, ``node_id``, ``name``, ``comment``, ``attributes``, ``loaded_at``;
@@ -536,41 +600,32 @@ def match_entities(spark: SparkSession, nodes: DataFrame, groups: DataFrame, acc
     match nothing. A record matches at most one record of another source: pairs are taken by falling
     confidence, of equal ones the smaller ids first, as long as both records are free.
 
-    Random walks over records, attributes and tokens give the counts on which skip-gram vectors are
-    trained. Records of a track are compared exactly if their names are equal or have a cosine of
-    at least ``NEAR`` (found among all pairs of distinct names), if they tell the same numbers, or
-    if they have two attribute numbers in common; so no pair that can pass is left out.
-    Told numbers decide where both sides have them; all other pairs get a confidence calibrated on
-    those that are decided.
+    Random walks over records, attributes and tokens give the counts on which skip-gram vectors of
+    words are trained. Records of a track meet in blocks of several hyperplane tables over their
+    names' vectors, of equal told numbers, and of two shared attribute numbers; they are compared
+    exactly, and their cosine and other evidence is calibrated to a confidence on a bounded
+    sample. ``trained`` False leaves the training out, to show what it gives.
     """
     scratch = Scratch(spark, "matching")
     track = groups.filter(nonblank(F.col("track"))).groupBy("tax").agg(F.min("track").alias("track"))
     several = track.groupBy("track").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("track")
     wanted = track.join(several, "track")
     latest = nodes.filter("node_id is not null and tax is not null").join(wanted.select("tax"), "tax", "left_semi").groupBy("tax", F.col("node_id").alias("id")).agg(*[F.max_by(c, F.struct("loaded_at", F.xxhash64("name", "comment"))).alias(c) for c in ("name", "comment", "attributes")])
-    rows, n = scratch.save(_parsed(lookup(latest, wanted, "tax", "inner")))
+    parsed, n = scratch.save(_parsed(lookup(latest, wanted, "tax", "inner")))
     empty = spark.createDataFrame([], "node_id_a string, node_id_b string, confidence double")
     if not n["rows"]:
         return empty
-    counts = {r.w: r["count"] for r in rows.select(F.explode("words").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()}
-    met = _walk_pairs(rows.repartition(tasks(spark), "track").sortWithinPartitions("track"), counts, walks, length)
-    pairs = [(r.a, r.b, r.n) for r in met.orderBy(F.desc("n"), "a", "b").limit(MAX_TRAINED_PAIRS).collect()]
-    vectors = train(pairs)
-    know = spark.sparkContext.broadcast((counts, vectors, {}))
-    sure, _ = scratch.save(_compared(_cells(_coded(rows, "f"), cell), know, True).filter("same = 1 and units >= 1"))
-    know = spark.sparkContext.broadcast((counts, vectors, learn_synonyms(spark, sure, counts)))
-    named, _ = scratch.save(_named(rows, know))
-    near, _ = scratch.save(_near_names(named, know, cell))
-    found = _compared(_cells(_coded(named, "nfa", near), cell), know, False).drop("words_a", "words_b").dropDuplicates(["a", "b"])
-    found, _ = scratch.save(found)
-    w, b = calibrate(found)
-    score = F.lit(b)
-    for k, c in zip(w, ("equal", "cosine", "least(shared, 1)", "if(shared >= 2, 1, 0)", "clash", "alike")):
-        score = score + F.lit(float(k)) * F.expr(c)
-    backed = (F.col("units") >= 2) | (F.col("shared") >= 1) | (F.col("units") == 1) & (F.col("alike") > 0)
-    told = F.when((F.col("same") == 1) & backed, F.lit(0.9) + 0.1 * F.least(F.lit(1.0), F.greatest("equal", "cosine", F.lit(0.0)))).otherwise(0.0)
-    rated = found.withColumn("confidence", F.when(F.col("known") == 1, told).otherwise(1 / (1 + F.exp(-score)))).filter(F.col("confidence") >= accept)
-    rated, _ = scratch.save(rated)
+    rows = lookup(parsed, parsed.groupBy("track").agg(F.count(F.lit(1)).alias("n")), "track", "inner", n["rows"])
+    know = spark.sparkContext.broadcast(_lexicon(parsed))
+    met = _walk_pairs(rows, know, walks, length)
+    learned = spark.sparkContext.broadcast(train([tuple(r) for r in met.orderBy(F.desc("n"), "a", "b").limit(MAX_TRAINED_PAIRS).collect()]) if trained else {})
+    idf = spark.sparkContext.broadcast(Lexicon(know.value).idf)
+    shown, _ = scratch.save(_shown(rows, know, learned))
+    some = max(1, n["rows"] // MAX_LABELLED)
+    part = _coded(shown, 1).filter(F.pmod(F.xxhash64("track", "board", "code"), F.lit(some)) == 0)
+    weights = calibrate(scratch.save(_compared(spark, _cells(part, cell), idf, None))[0])
+    found = _compared(spark, _cells(_coded(shown), cell), idf, weights, accept).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("tax_a", "tax_b", "told_a", "told_b", "confidence")])
+    rated, _ = scratch.save(found)
     return _consistent(_one_to_one(spark, rated)).select(F.col("a").alias("node_id_a"), F.col("b").alias("node_id_b"), "confidence")
 
 

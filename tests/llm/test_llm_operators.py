@@ -284,7 +284,10 @@ def test_matching_uses_names_facts_and_attributes(spark):
 
 
 def test_names_and_numbers_are_read():
-    assert matching.words_of("OfficeOf_late-Chair (x)") == ["office", "late", "chair", "x"] and matching.words_of("C_76312") == []
+    assert matching.words_of("OfficeOf_late-Chair (x)") == ["office", "late", "chair", "x"] and matching.words_of("C_76312") == ["c"]
+    lexicon = matching.Lexicon([("c", 9, 0, 9), ("late", 40, 30, 0), ("chair", 50, 40, 0), ("costs", 0, 60, 0)])
+    assert lexicon.name(["c"], True, ["late", "chair", "costs"]) == ("chair", "late") and lexicon.name(["c"], False, []) == ("c",)
+    assert matching.record("x", None, ["73.0", "Yes", None, " ", "seventy_three"])[4:] == ([73.0], ["true"])
     assert [matching.number(x) for x in ("seventy-three", "73.0", "seventy_three", "nine", "teal", "")] == [73.0, 73.0, 73.0, 9.0, None, None]
     w = matching.Words({"attendee": 400, "delayed": 90, "atendee": 3, "dela": 4})
     assert w.plain("atendee") == "attendee" and w.plain("dela") == "delayed" and w.plain("attendee") == "attendee"
@@ -322,22 +325,57 @@ def test_recall_on_held_out_truth(spark):
     got = {(p.node_id_a, p.node_id_b) for p in matching.match_entities(spark, entities(spark, rows), spark.createDataFrame([("a", "t"), ("b", "t")], "tax string, track string")).collect()}
     assert len(got & truth) >= 0.9 * len(truth) and len(got - truth) <= 0.05 * len(truth)
 
-def test_every_like_pair_of_a_large_track_is_met(spark):
-    """Recall against brute force over one track: like names that are not equal, and two of three attribute numbers equal."""
+
+@pytest.mark.parametrize("size", [100, 1000, 4000])
+def test_blocking_recall_against_brute_force(spark, size):
+    """Pairs of like names that share a hyperplane table, against all pairs; the share holds at any size."""
+    r = np.random.default_rng(size)
+    base = r.standard_normal((size // 2, matching.DIM))
+    v = np.concatenate([base, base + 0.6 * r.standard_normal(base.shape)]).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cosine = v @ v.T
+    i, j = np.nonzero(np.triu(cosine >= matching.NEAR, 1))
+    bits, tables = matching.tables_of(size)
+    met = np.zeros(len(i), bool)
+    largest = 0
+    for t in range(tables):
+        c = matching.codes(v, bits, t)
+        met |= c[i] == c[j]
+        largest = max(largest, np.bincount(np.unique(c, return_inverse=True)[1]).max())
+    assert len(i) > size // 4 and met.mean() >= 0.9 and largest < 15 * matching.BLOCK
+
+
+def test_all_pairs_of_shared_numbers_meet(spark):
+    """Two of three attribute numbers in common, or equal told numbers: every pair, against brute force, however blocks are cut."""
     r = random.Random(3)
-    words = [f"{a}{b}" for a in ("bal", "cor", "dun", "fel", "gim", "hov") for b in ("tap", "rix", "mon", "dek", "sul", "wep")]
-    recs = [(t, f"{t}#{i:04}", [*r.sample(words, 3)], sorted(r.sample(range(2, 60), 3))) for t in "ab" for i in range(600)]
-    rows = spark.createDataFrame([("t", t, i, w, True, [], [], [float(x) for x in n], []) for t, i, w, n in recs], matching._RECORD)
-    know = spark.sparkContext.broadcast(({w: 9 for w in words}, {}, {}))
-    scorer = matching.Scorer(*know.value)
-    near = matching._near_names(matching._named(rows, know), know, 200)
-    for view in "na":
-        coded = matching._coded(matching._named(rows, know), view, near)
-        got = {(p.a, p.b) for p in matching._compared(matching._cells(coded, 300), know, False).collect()}
-        vectors = np.stack([(v := scorer.views(w, [], [])["n"]) / np.linalg.norm(v) for _, _, w, _ in recs])
-        cosine = vectors @ vectors.T
-        want = {(p[1], q[1]) for i, p in enumerate(recs) for j, q in enumerate(recs) if p[0] == "a" and q[0] == "b" and (cosine[i, j] >= 0.7501 if view == "n" else len(set(p[3]) & set(q[3])) >= 2)}
-        assert len(want) > 300 and want <= got
+    recs = [(t, f"{t}#{i:04}", sorted(r.sample(range(2, 60), 3))) for t in "ab" for i in range(400)]
+    rows = [("t", t, i, 800, "", 0, None, ",".join(map(str, n[:1])), 1, [], [float(x) for x in n], []) for t, i, n in recs]
+    shown = spark.createDataFrame(rows, matching._SHOWN)
+    idf = spark.sparkContext.broadcast(np.ones(1, np.float32))
+    want = {(p[1], q[1]) for p in recs for q in recs if p[0] == "a" and q[0] == "b" and (len(set(p[2]) & set(q[2])) >= 2 or p[2][0] == q[2][0])}
+    for cell in (7, 300):
+        got = matching._compared(spark, matching._cells(matching._coded(shown), cell), idf, None).select("a", "b").collect()
+        assert {(x.a, x.b) for x in got} == want
+
+
+def test_training_finds_other_words_for_the_same(spark):
+    """Synonyms are only known from the walks: without training the pairs named by them are lost."""
+    r = random.Random(12)
+    mods = [("late", "delayed"), ("social", "convivial"), ("draft", "tentative"), ("joint", "shared"), ("annual", "yearly"), ("private", "closed"), ("paid", "billed"), ("printed", "hardcopy"), ("free", "gratis"), ("full", "entire")]
+    heads = ["chair", "paper", "topic", "badge", "review", "venue", "dinner", "poster", "speaker", "archive", "tutorial", "fee"]
+    rows, silent = [], set()
+    for i, (m, h) in enumerate((m, h) for m in mods for h in heads):
+        x, y = r.sample(range(2, 99), 2)
+        rows.append(("a", f"a#{i:03}", f"{m[0]} {h}", f"It costs {x} euros and has {y} pages.", None))
+        if i % 4:
+            rows.append(("b", f"b#{i:03}", f"{m[1]} {h}", f"It has {y} pages. It costs {x} euros.", None))
+        else:
+            rows.append(("b", f"b#{i:03}", f"{m[1]} {h}", None, None))
+            silent.add((f"a#{i:03}", f"b#{i:03}"))
+    groups = spark.createDataFrame([("a", "t"), ("b", "t")], "tax string, track string")
+    n = entities(spark, rows)
+    got = [{(p.node_id_a, p.node_id_b) for p in matching.match_entities(spark, n, groups, trained=x).collect()} for x in (True, False)]
+    assert len(got[0] & silent) >= 0.4 * len(silent) and len(got[1] & silent) <= 0.1 * len(silent)
 
 
 def test_every_free_accepted_pair_is_taken(spark):
