@@ -39,30 +39,38 @@ def plain_text(text: Column) -> Column:
     return F.when(text.contains("<"), h).otherwise(s)
 
 
+#: A place where a text may be cut: not within a tag, not between two cells of a row.
+_FREE = r"(?![^<>]{0,90}>)(?!\s*<t[dh])"
+_BLOCK = r"(?i:</?(?:li|tr|p|div|br|h\d|ul|ol|table|blockquote)\b)"
+_BLOCK_START = r"\A\s*" + _BLOCK
+
+
 def pieces(text: Column, size: int) -> Column:
     """Array of structs: pieces of at most ``size`` characters, and the state at their edges.
 
-    A cut is made behind the last line break of the window, else behind its last white space, else
-    anywhere. ``mid_start`` and ``mid_end`` say that a line runs over the edge, ``mid_word`` that
-    a word does at the start.
+    A cut is made behind the last line break of the window, else before its last tag that makes one,
+    else behind its last white space, else
+    behind its last character that is in no word, else anywhere. ``mid_start`` and ``mid_end`` say
+    that a line runs over the edge, ``word_start`` and ``word_end`` that a word does, ``stopped`` that
+    a sentence ended before the piece, ``several`` that the text has more than one piece.
     """
-    one = F.array(text)
-    cut = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{size}}}(?<=\n)|.{{1,{size}}}\z|.{{1,{size}}}(?<=\s)|.{{1,{size}}})"), F.lit(1))
-    several = F.when(F.length(text) <= size, one).otherwise(cut)
-
-    def state(x: Column, i: Column) -> Column:
-        before = F.get(several, i - 1)
-        letter = r"[\p{L}\p{N}]"
-        first = i == 0
+    w = r"[\p{L}\p{M}\p{N}'’]"
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{size}}}\z|.{{1,{size}}}(?<=\n){_FREE}|.{{1,{size}}}(?={_BLOCK})|.{{1,{size}}}(?<=\s)(?!\n){_FREE}|.{{1,{size}}}(?<!{w}){_FREE}|.{{1,{size}}})"), F.lit(1))
+
+    def state(all: Column, x: Column, i: Column) -> Column:
+        def over(a: Column, b: Column) -> Column:
+            return ~a.rlike(r"[\n\r]\z") & ~b.rlike(_BLOCK_START)
+
+        before, after = F.get(all, i - 1), F.get(all, i + 1)
         return F.struct(
-            x.alias("s"), i.alias("at"),
-            F.when(first, False).otherwise(~before.endswith("\n")).alias("mid_start"),
-            ((i < F.size(several) - 1) & ~x.endswith("\n")).alias("mid_end"),
-            F.when(first, False).otherwise(before.rlike(letter + r"\z") & x.rlike(r"\A" + letter)).alias("mid_word"),
+            x.alias("s"), i.alias("at"), F.coalesce(over(before, x), F.lit(False)).alias("mid_start"), F.coalesce(over(x, after), F.lit(False)).alias("mid_end"),
+            F.coalesce(before.rlike(w + r"\z") & x.rlike(r"\A" + w), F.lit(False)).alias("word_start"), F.coalesce(x.rlike(w + r"\z") & after.rlike(r"\A" + w), F.lit(False)).alias("word_end"),
+            F.coalesce(before.rlike(r"[\p{L})][.!?…][\"”»)]*\s+\z"), F.lit(False)).alias("stopped"), F.lit(True).alias("several"),
         )
 
-    single = F.array(F.struct(text.alias("s"), F.lit(0).alias("at"), F.lit(False).alias("mid_start"), F.lit(False).alias("mid_end"), F.lit(False).alias("mid_word")))
-    return F.when(F.length(text) <= size, single).otherwise(F.transform(several, state))
+    single = F.array(F.struct(text.alias("s"), F.lit(0).alias("at"), *[F.lit(False).alias(c) for c in ("mid_start", "mid_end", "word_start", "word_end", "stopped", "several")]))
+    once = F.get(F.transform(F.array(cut), lambda all: F.transform(all, lambda x, i: state(all, x, i))), F.lit(0))  # the text is cut once, not once for each piece
+    return F.when(F.length(text) <= size, single).otherwise(once)
 
 
 def quality_statistics(df: DataFrame, id: str, text: str, common: Sequence[str], size: int = 32_768) -> DataFrame:
@@ -74,52 +82,70 @@ def quality_statistics(df: DataFrame, id: str, text: str, common: Sequence[str],
     (a fixed short list). A null or blank text has zero counts, null ratios and a null kind.
     Repeated rows of the same id and text give one row. Other columns play no role.
 
-    Texts beyond ``size`` characters are cut into pieces; each piece gives sums, corrected by
-    what runs over its edges, and the pieces' sums are merged by partial and final aggregation.
-    No text is collected or shuffled.
+    Texts beyond ``size`` characters are cut into pieces before anything else is done to them;
+    each piece gives sums, corrected by what runs over its edges, and the pieces' sums are merged by
+    partial and final aggregation. No text is collected or shuffled.
     """
     known = sorted({w.lower() for w in common})
     raw = F.col(f"`{text}`")
-    base = df.select(F.col(f"`{id}`").alias("_id"), F.xxhash64(raw).alias("_h"), F.coalesce(raw.rlike(r"\S"), F.lit(False)).alias("_seen"), plain_text(raw).alias("_plain"))
-    cut = base.select("_id", "_h", "_seen", F.explode_outer(pieces(F.col("_plain"), size)).alias("_p"))
-    part = cut.select("_id", "_h", "_seen", F.col("_p.at").alias("_at"), F.coalesce(F.col("_p.s"), F.lit("")).alias("s"), *[F.coalesce(F.col(f"_p.{c}").cast("bigint"), F.lit(0)).alias(c) for c in ("mid_start", "mid_end", "mid_word")])
+    edges = ("mid_start", "mid_end", "word_start", "word_end", "stopped", "several")
+    cut = df.select(F.col(f"`{id}`").alias("_id"), F.xxhash64(raw).alias("_h"), F.coalesce(raw.rlike(r"\S"), F.lit(False)).alias("_seen"), F.explode_outer(pieces(raw, size)).alias("_p"))
+    part = cut.select("_id", "_h", "_seen", F.col("_p.at").alias("_at"), F.coalesce(plain_text(F.col("_p.s")), F.lit("")).alias("s"), *[F.coalesce(F.col(f"_p.{c}"), F.lit(False)).alias(c) for c in edges])
     part = part.withColumn("low", F.lower("s")).withColumn("w", F.split("low", r"[^\p{L}\p{M}\p{N}'’]+")).withColumn("other", F.regexp_replace("s", r"[\p{L}\p{M}]+", ""))
-    part = part.withColumn("quoted", F.when(F.col("s").contains(">"), F.regexp_replace("s", r"(?m)^> ?", "")).otherwise(F.col("s"))).withColumn("no_rows", F.regexp_replace("quoted", ROW, "")).withColumn("no_entries", F.regexp_replace("no_rows", ENTRY, ""))
+    # parts of lines at the edges are never rows or entries; they come back behind those rules
+    head, tail = F.when(F.col("mid_start"), F.regexp_extract("s", r"\A[^\n]*", 0)), F.when(F.col("mid_end"), F.regexp_extract("s", r"[^\n]*\z", 0))
+    part = part.withColumn("head", F.coalesce(head, F.lit(""))).withColumn("tail", F.when(F.col("mid_start") & ~F.col("s").contains("\n"), "").otherwise(F.coalesce(tail, F.lit(""))))
+    core = F.when(F.col("mid_start") | F.col("mid_end"), F.expr("substring(s, length(head) + 1, length(s) - length(head) - length(tail))")).otherwise(F.col("s"))
+    part = part.withColumn("core", core).withColumn("quoted", F.when(F.col("core").contains(">"), F.regexp_replace("core", r"(?m)^> ?", "")).otherwise(F.col("core")))
+    part = part.withColumn("no_rows", F.regexp_replace("quoted", ROW, "")).withColumn("core_left", F.regexp_replace("no_rows", ENTRY, "")).withColumn("no_entries", F.when(F.col("mid_start") | F.col("mid_end"), F.concat("head", "core_left", "tail")).otherwise(F.col("core_left")))
     line_end = r"(?m)[.!?…:;。][\"”»'’)\]]*[ \t]*$"
-    lines_left = F.col("no_entries").contains("\n")  # list rules need several lines
+    edge_length = _length(F.col("head")) + _length(F.col("tail"))
+    goes_on = (F.col("mid_start") & F.col("s").rlike(r"\A[ \t]*\S")).cast("bigint")  # its first line was counted by an earlier piece
+    # words of a text that keeps saying the same: where the first ones differ, that is settled
+    varied = F.size(F.array_distinct(F.array_remove(F.slice("w", 1, 12), ""))) > 3
+    different = F.when(~varied, F.array_distinct(F.array_remove("w", "")))
+    few = F.when(F.size(different) <= 3, different)
+
+    def place(seed: int) -> Column:
+        def mark(m: Column, x: Column) -> Column:
+            return m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(x, F.lit(seed)), F.lit(64)).cast("int")))
+
+        return F.coalesce(F.aggregate(few, F.lit(0).cast("bigint"), mark), F.lit(0).cast("bigint"))
+
+    lines_left = F.col("no_entries").contains("\n") | F.col("several")  # list rules need several lines
     sums = {
         # empty strings stand at the ends only, where the text starts or ends with something else
-        "words": F.greatest(F.lit(0), F.size("w") - (F.element_at("w", 1) == "").cast("int") - (F.element_at("w", -1) == "").cast("int")) - F.col("mid_word"),
-        "common": F.size(F.filter("w", lambda x: x.isin(known))),
-        # only texts of at most three different words matter: more than three among the first ones settle it
-        "distinct": F.when(F.size(F.array_distinct(F.array_remove(F.slice("w", 1, 12), ""))) > 3, 1_000).otherwise(F.size(F.array_distinct(F.array_remove("w", "")))),
+        "words": F.greatest(F.lit(0), F.size("w") - (F.element_at("w", 1) == "").cast("int") - (F.element_at("w", -1) == "").cast("int")) - F.col("word_start").cast("int"),
+        "common": F.size(F.filter("w", lambda x: x.isin(known))) - (F.col("word_start") & F.element_at("w", 1).isin(known)).cast("int") - (F.col("word_end") & F.element_at("w", -1).isin(known)).cast("int"),
         "letters": _length(F.col("s")) - _length(F.col("other")),
         "visible": _length(F.col("s")) - _length(F.regexp_replace("other", r"\S+", "")),
         "digits": _length(F.regexp_replace("other", r"[^\p{N}]+", "")),
         "broken": _length(F.regexp_replace("other", "[^�\u0080-\u009f]+", "")),
         "vowels": _length(F.col("low")) - _length(F.translate("low", VOWELS, "")),
-        "lines": F.regexp_count("s", F.lit(r"(?m)^[ \t]*[^\s]")) - F.col("mid_start"),
-        "line_ends": F.regexp_count("s", F.lit(line_end)) - F.col("mid_end") * F.col("s").rlike(r"[.!?…:;。][\"”»'’)\]]*[ \t]*\z").cast("bigint"),
-        "number_rows": F.when(_length(F.col("other")) > 0.8 * _length(F.col("s")), F.regexp_count("s", F.lit(NUMBER_ROW))).otherwise(0),
-        "all": _length(F.col("quoted")),
+        "lines": F.regexp_count("s", F.lit(r"(?m)^[ \t]*[^\s]")) - goes_on,
+        "line_ends": F.regexp_count("s", F.lit(line_end)) - F.col("mid_end").cast("bigint") * F.col("s").rlike(r"[.!?…:;。][\"”»'’)\]]*[ \t]*\z").cast("bigint"),
+        "number_rows": F.regexp_count("quoted", F.lit(NUMBER_ROW)),
+        "wordless": _length(F.col("other")), "size": _length(F.col("s")),
+        "all": _length(F.col("quoted")) + edge_length,
         "rows": _length(F.col("quoted")) - _length(F.col("no_rows")),
-        "entries": _length(F.col("no_rows")) - _length(F.col("no_entries")),
+        "entries": _length(F.col("no_rows")) - _length(F.col("core_left")),
         "rest": _length(F.col("no_entries")),
-        "rest_lines": F.regexp_count("no_entries", F.lit(r"(?m)^[ \t]*[^\s]")),
-        "rest_upper": F.when(lines_left, F.regexp_count("no_entries", F.lit(r"(?m)^[ \t]*[^\p{L}\s]*\p{Lu}"))).otherwise(0),
-        "breaks": F.when(lines_left, F.regexp_count("no_entries", F.lit(_SENTENCE_BREAK))).otherwise(0),
-        "pieces": F.lit(1),
+        "rest_lines": F.regexp_count("no_entries", F.lit(r"(?m)^[ \t]*[^\s]")) - goes_on,
+        "rest_upper": F.when(lines_left, F.regexp_count("no_entries", F.lit(r"(?m)^[ \t]*[^\p{L}\s]*\p{Lu}")) - (F.col("mid_start") & F.col("s").rlike(r"\A[ \t]*[^\p{L}\s]*\p{Lu}")).cast("bigint")).otherwise(0),
+        "breaks": F.when(lines_left, F.regexp_count("no_entries", F.lit(_SENTENCE_BREAK)) + (F.col("stopped") & F.col("no_entries").rlike(r"\A\s*\p{Lu}")).cast("bigint")).otherwise(0),
     }
-    counts = part.select("_id", "_h", "_seen", "_at", *[c.cast("bigint").alias(k) for k, c in sums.items()])
-    whole = counts.groupBy("_id", "_h").agg(F.max("_seen").alias("_seen"), F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, 1)).alias("copies"), *[F.sum(k).alias(k) for k in sums])
-    whole = whole.select("_id", "_h", "_seen", *[(F.col(k) / F.col("copies")).alias(k) for k in sums])
+    marks = {"many": (varied | (F.size(different) > 3)).cast("int"), "most": F.coalesce(F.size(few), F.lit(0)), "place0": place(0), "place1": place(1)}
+    counts = part.select("_id", "_h", "_seen", "_at", *[c.cast("bigint").alias(k) for k, c in sums.items()], *[c.alias(k) for k, c in marks.items()])
+    whole = counts.groupBy("_id", "_h").agg(F.max("_seen").alias("_seen"), F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, 1)).alias("copies"), *[F.sum(k).alias(k) for k in sums], F.max("many").alias("many"), F.max("most").alias("most"), *[F.bit_count(F.bit_or(k)).alias(k) for k in ("place0", "place1")])
+    distinct = F.when(F.col("many") > 0, 1_000).otherwise(F.greatest("most", "place0", "place1"))
+    whole = whole.select("_id", "_h", "_seen", *[(F.col(k) / F.col("copies")).alias(k) for k in sums], distinct.alias("distinct"))
 
     def share(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b))
 
     letters, vowels, common_ratio = F.coalesce(share("letters", "visible"), F.lit(0.0)), F.coalesce(share("vowels", "letters"), F.lit(0.0)), F.coalesce(share("common", "words"), F.lit(0.0))
-    repeated = (F.col("words") >= 6) & (F.col("distinct") <= 3 * F.col("pieces")) & (F.col("words") >= 3 * F.col("distinct"))
-    numbers = F.col("number_rows") >= 0.5 * F.col("lines")
+    repeated = (F.col("words") >= 6) & (F.col("distinct") <= 3) & (F.col("words") >= 3 * F.col("distinct"))
+    numbers = (F.col("number_rows") >= 0.5 * F.col("lines")) & (F.col("wordless") > 0.8 * F.col("size"))
     unreadable = (F.col("words") == 0) | repeated | (F.col("broken") > 0.05 * F.col("visible"))
     length = (F.col("letters") + F.col("digits")) / F.greatest("words", F.lit(1))
     table = (F.col("rows") > 0.5 * F.col("all")) & ((letters >= 0.12) | numbers) | numbers
