@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crosslattice.llm.components import consolidate
-from crosslattice.llm.leakage import find_leaks
+from crosslattice.llm.leakage import find_leaks, remove_leaks
 from crosslattice.llm.matching import match_entities
 from crosslattice.llm.packing import pack
 from crosslattice.llm.quality import quality_statistics
@@ -67,6 +67,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p8_removed(spark: SparkSession, d: str) -> DataFrame:
+    clean = remove_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return clean.filter("removed > 0")
+
+
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     common = [r.word for r in table(spark, d, "common_words").select("word").collect()]  # a fixed list, 225 words
     return quality_statistics(table(spark, d, "documents"), "doc_id", "text", common)
@@ -80,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_split": p3_split,
     "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found,
     "p7_containers": p7_containers,
-    "p8_found": p8_found, "p8_spans": p8_spans,
+    "p8_found": p8_found, "p8_spans": p8_spans, "p8_removed": p8_removed,
     "p9_found": p9_found, "p9_statistics": p9_statistics,
 }
 

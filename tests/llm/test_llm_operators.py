@@ -139,9 +139,10 @@ def test_packing_keeps_every_token(spark):
 ITEM = [f"w{i}" for i in range(40)]
 
 
-def spans(text, items=None, least=15):
+def spans(text, items=None, least=15, ends=None):
     auto = leakage.Automaton(items or {1: ITEM})
-    return {s[0]: s[1:3] for s in leakage.leaked(auto, leakage._stock(auto.items, 3), text, least, 6)}
+    ends = ends or {}
+    return {s[0]: s[1:3] for s in leakage.leaked(auto, {i: len(x) - ends.get(i, 0) for i, x in auto.items.items()}, leakage.normal_words(text), least, 6)}
 
 
 def test_leak_of_whole_and_of_changed_passages():
@@ -165,8 +166,11 @@ def test_leak_ignores_markup_case_and_hidden_characters():
 def test_stock_closing_alone_is_no_leak():
     end = [f"e{i}" for i in range(18)]
     items = {i: [f"i{i}x{k}" for k in range(30)] + end for i in range(4)}
-    assert spans(" ".join(end), items) == {}
-    assert set(spans(" ".join(items[2]), items)) == {2}
+    assert spans(" ".join(end), items, ends=dict.fromkeys(items, 18)) == {}
+    assert set(spans(" ".join(items[2]), items, ends=dict.fromkeys(items, 18))) == {2}
+    texts = ["One two. Say yes or no.", "Three four. Say yes or no!", "Three four. Say yes or no!", "Say yes or no.", "Five. Six."]
+    assert leakage.stock_closings(texts, 2) == {("say", "yes", "or", "no")} and leakage.stock_closings(texts, 3) == set()
+    assert leakage.stock_closings([], 2) == set() and leakage.closing("no end") == []
 
 
 def test_automaton_tells_longest_matches():
@@ -207,6 +211,45 @@ def test_leak_query_on_dirty_rows(spark):
     assert leakage.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_closing_of_two_items_and_several_texts_of_one(spark):
+    end = "Now say in one word which of these many concepts is the parent of all the others here or is none of them."
+    items = spark.createDataFrame([(1, "a1 b1 c1. " + end), (2, "a2 b2 c2 d2. " + end), (3, " ".join(ITEM)), (3, " ".join(f"v{i}" for i in range(30)))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, end), (2, " ".join(f"v{i}" for i in range(20))), (3, " ".join(ITEM[10:40]) + " x " + " ".join(f"v{i}" for i in range(30)))], "doc_id bigint, text string")
+    got = leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()
+    assert sorted((r.doc_id, r.item_id, r.words) for r in got) == [(2, 3, 20), (3, 3, 30)]
+
+
+def test_words_and_their_places_agree():
+    r = random.Random(8)
+    parts = ["<p>", "</p>", "Alpha-beta", "caf\u00e9", "e\u0301clair", "\ufb01ne", "x\u00ady", "&amp;", "&eacute;t\u00e9", "[a link](http://x.y)", "**bold**", "word-\n  broken", "<b>in", "</b>", "\u200b", "ISO-9001", "\n", "\u0130stanbul", "&unknown", "a<b"]
+    for _ in range(300):
+        t = " ".join(r.choice(parts) for _ in range(r.randrange(1, 25))) if r.random() < 0.7 else "".join(r.choice(parts) for _ in range(12))
+        placed = leakage.placed_words(t)
+        assert [w for w, _, _ in placed] == leakage.normal_words(t)
+        assert all(0 <= a <= b < len(t) for _, a, b in placed) and [a for _, a, _ in placed] == sorted(a for _, a, _ in placed)
+
+
+def test_passages_over_a_limit_are_removed(spark):
+    item, half = " ".join(ITEM), " ".join(ITEM[:20])
+    changed = " ".join("<b>ZZ</b>" if i % 7 == 6 else w.upper() for i, w in enumerate(ITEM))
+    rows = [(1, f"Before, {item}; after {item}."), (2, f"Keep {half} this"), (3, None), (4, ""), (5, f"<p>A {changed}! B</p>"), (6, "nothing here")]
+    docs, items = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r.doc_id: (r.text, r.removed) for r in leakage.remove_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()}
+    assert got[1] == ("Before, ; after .", 80) and got[2] == (rows[1][1], 0) and got[3] == (None, 0) and got[4] == ("", 0) and got[6] == (rows[5][1], 0)
+    assert got[5][1] == 40 and got[5][0].startswith("<p>A ") and got[5][0].endswith("! B</p>")
+    got = {r.doc_id: r.removed for r in leakage.remove_leaks(docs, "doc_id", "text", items, "item_id", "text", cover=0.4).collect()}
+    assert got[2] == 20
+    assert {r.removed for r in leakage.remove_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").collect()} == {0}
+
+
+def test_items_beyond_one_automaton(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MAX_ITEM_WORDS", 60)
+    items = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(40))) for k in range(4)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(5, 30))) for k in range(4)], "doc_id bigint, text string")
+    got = leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()
+    assert sorted((r.doc_id, r.item_id, r.words) for r in got) == [(k, k, 25) for k in range(4)]
+
+
 PROSE = "The panel has read the list of terms. It was not clear to us, and so the team will look at it again when the others are back."
 COMMON = ["the", "of", "it", "was", "not", "to", "us", "and", "so", "at", "when", "are", "has"]
 
