@@ -44,13 +44,12 @@ def ancestors(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max_local
 
 def reachable(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max_local: int = MAX_LOCAL) -> DataFrame:
     """Nodes that a chain of parents leads from a root to, roots included."""
-    top = roots(nodes, edges)
-    below = all_descendants(spark, nodes, edges, max_local).join(top, ["tax", "node_id"], "left_semi").select("tax", F.col("descendant_id").alias("node_id"))
-    return top.unionByName(below).distinct()
+    return node_states(spark, nodes, edges, max_local).filter("reached").select("tax", "node_id")
 
 
 def orphans(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _known(nodes).join(reachable(spark, nodes, edges), ["tax", "node_id"], "left_anti")
+    """Nodes that no chain of parents leads from a root to."""
+    return node_states(spark, nodes, edges).filter("not reached").select("tax", "node_id")
 
 
 def depths(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -16,9 +16,11 @@ MAX_HOT_KEYS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A folder of our own only where the session names none."""
+    """The folder all executors share: the session's. A folder of our own only on this machine alone, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="crosslattice-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -53,6 +55,10 @@ class Scratch:
         out._scratch_path = path
         return out, seen.get
 
+    def gather(self, tables: list[DataFrame]) -> DataFrame | None:
+        """Saved tables of one schema as one scan, however many they are; none of none."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._scratch_path for t in tables]) if tables else None
+
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             if t is not None and getattr(t, "_scratch_path", None):

@@ -51,6 +51,47 @@ def test_states_against_brute_force(spark, limit):
     assert got == {(g, k): v for g, ps in graphs.items() for k, v in brute(ps).items()}
 
 
+def below(parents):
+    up = {}
+    for k in parents:
+        seen, work = set(), [p for p in parents[k] if p in parents]
+        while work:
+            p = work.pop()
+            if p not in seen:
+                seen.add(p)
+                work += [q for q in parents[p] if q in parents]
+        up[k] = seen
+    return {(a, k) for k, s in up.items() for a in s}
+
+
+@pytest.mark.parametrize("limit", [hierarchy.MAX_LOCAL, 1])
+def test_descendants_reached_and_sizes_against_brute_force(spark, limit):
+    r = random.Random(5)
+    graphs = {}
+    for g in range(2 if limit == 1 else 40):
+        k = r.randrange(1, 12)
+        graphs[f"g{g}"] = {f"n{i}": [f"n{r.randrange(k + 1)}" for _ in range(r.choice([0, 1, 1, 2, 3]))] for i in range(k)}
+    n = spark.createDataFrame([(g, k, None, 1, k) for g, ps in graphs.items() for k in ps], N)
+    e = spark.createDataFrame([(g, k, p, i) for g, x in graphs.items() for k, ps in x.items() for i, p in enumerate(ps)], E)
+    want = {(g, a, b) for g, ps in graphs.items() for a, b in below(ps)}
+    assert {tuple(x) for x in hierarchy.all_descendants(spark, n, e, limit).collect()} == want
+    sizes = {(x.tax, x.node_id): x.descendants for x in hierarchy.hierarchies(spark, n, e, limit).select("tax", "node_id", "descendants").collect()}
+    assert sizes == {(g, k): sum(x[:2] == (g, k) for x in want) for g, ps in graphs.items() for k in ps}
+    roots = {(g, k) for g, ps in graphs.items() for k, p in ps.items() if not p}
+    assert {tuple(x) for x in graph.reachable(spark, n, e, limit).collect()} == roots | {(g, b) for g, a, b in want if (g, a) in roots}
+
+
+def test_chain_of_100_000_nodes():
+    names = [f"n{i:06}" for i in range(100_000)]
+    t = hierarchy.Tree(names, zip(names[1:], names))
+    sizes = {t.names[members[0]]: sum(hi - lo for lo, hi in stretches) for members, stretches, _ in t.lists()}
+    assert t.depth[-1] == 99_999 and all(t.reached) and sizes["n000000"] == 99_999 and sizes["n099999"] == 0 and sizes["n050000"] == 49_999
+    t = hierarchy.Tree(names, [*zip(names[1:], names), (names[10], names[90_000])])
+    assert t.state(5) is None and t.state(10) == "cycle" == t.state(90_000) and t.state(90_001) == "below_cycle"
+    sizes = {t.names[v]: sum(hi - lo for lo, hi in stretches) for members, stretches, _ in t.lists() for v in members}
+    assert sizes["n000000"] == 99_999 and sizes["n000010"] == 99_990 == sizes["n090000"] and sizes["n090001"] == 9_998
+
+
 def test_paths_roots_descendants(spark):
     n, e = tables(spark, {"r": [], "a": ["r"], "b": ["a"], "c": ["b", "r"]})
     h = {x.node_id: x for x in hierarchy.hierarchies(spark, n, e).collect()}
