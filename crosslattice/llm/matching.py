@@ -249,31 +249,36 @@ def _walk_pairs(rows: DataFrame, know, walks: int, length: int) -> DataFrame:
     """
 
     def walk(records: list[tuple], lexicon: Lexicon, met: Counter, rng: np.random.Generator) -> None:
-        shown = [lexicon.name(w, c, s) for w, c, _, s, _, _ in records]
+        shown = [set(lexicon.name(w, c, s)) for w, c, _, s, _, _ in records]
+        if not records:
+            return
         # the attributes of a record, name, description and values, with their tokens
-        tokens = [[*[f"w:{x}" for x in shown[k]], *[f"f:{x:g}" for x in told], *[f"n:{x:g}" for x in numbers], *[f"v:{x}" for x in others]] for k, (_, _, told, _, numbers, others) in enumerate(records)]
-        holders: dict[str, list[int]] = {}
-        for k, own in enumerate(tokens):
-            for x in set(own):
-                holders.setdefault(x, []).append(k)
-        ways = []
-        for own in tokens:
-            own = [x for x in own if len(holders[x]) > 1]
-            weight = np.cumsum([(len(holders[x]) - 1) ** -1.5 for x in own])
-            ways.append((own, weight / weight[-1] if own else weight))
-        for start in range(len(records)):
-            at, seen = start, []
-            for u, v in rng.random((length, 2)):
-                seen.append(set(shown[at]))
-                own, weight = ways[at]
-                if not own:
-                    break
-                there = holders[own[min(int(np.searchsorted(weight, u)), len(own) - 1)]]
-                at = there[int(v * len(there))]
-            for i in range(len(seen)):
-                for j in range(max(0, i - 2), min(len(seen), i + 3)):
-                    if i != j:
-                        met.update((x, y) for x in seen[i] - seen[j] for y in seen[j] - seen[i])
+        place: dict[str, int] = {}
+        tokens = [[place.setdefault(y, len(place)) for y in {*[f"w:{x}" for x in shown[k]], *[f"f:{x:g}" for x in told], *[f"n:{x:g}" for x in numbers], *[f"v:{x}" for x in others]}] for k, (_, _, told, _, numbers, others) in enumerate(records)]
+        size = np.array([len(x) for x in tokens])
+        flat = np.array([y for x in tokens for y in sorted(x)], np.int64)
+        owner = np.repeat(np.arange(len(tokens)), size)
+        holders, many = owner[np.argsort(flat, kind="stable")], np.bincount(flat, minlength=len(place))
+        first = np.cumsum(many) - many
+        weight = np.cumsum(np.append(0.0, np.where(many[flat] > 1, np.maximum(many[flat] - 1.0, 1) ** -1.5, 0.0)))
+        low, high = weight[np.cumsum(size) - size], weight[np.cumsum(size)]
+        at, seen = np.arange(len(records)), []
+        for u, v in rng.random((length, 2, len(records))):
+            seen.append(at)
+            on = np.flatnonzero((at >= 0) & (high[at] > low[at]))
+            k = np.minimum(np.searchsorted(weight, low[at[on]] + u[on] * (high[at[on]] - low[at[on]]), side="right") - 1, len(flat) - 1)
+            at = np.full(len(records), -1)
+            at[on] = holders[first[flat[k]] + (v[on] * many[flat[k]]).astype(np.int64)]
+        for d in (1, 2):
+            i, j = np.concatenate(seen[:-d]), np.concatenate(seen[d:])
+            ok = (i >= 0) & (j >= 0) & (i != j)
+            pair, times = np.unique(np.minimum(i[ok], j[ok]) * len(records) + np.maximum(i[ok], j[ok]), return_counts=True)
+            for p, q, n in zip((pair // len(records)).tolist(), (pair % len(records)).tolist(), times.tolist()):
+                left, right = shown[p] - shown[q], shown[q] - shown[p]
+                for x in left:
+                    for y in right:
+                        met[x, y] += n
+                        met[y, x] += n
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, rng, met, now, some = Lexicon(know.value), np.random.default_rng(11), Counter(), None, []
