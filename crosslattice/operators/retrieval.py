@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,13 +13,12 @@ from pyspark.sql import functions as F
 
 from crosslattice.functions.text import label_key, tokens
 from crosslattice.operators.assign import top_k
+from crosslattice.runtime import Scratch
 
-#: Vectors in a block of the similarity search.
-BLOCK = 2048
+#: Queries that every task holds at once; a larger query set goes over the rows block by block.
+BLOCK = 4096
 #: Okapi constants, fixed values: term saturation, length weight, floor of negative idf as a share of the mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Distinct query words held by every task of the BM25 scorer.
-MAX_QUERY_WORDS = 1_000_000
 
 
 def label_matches(source: DataFrame, target: DataFrame, label: str = "name") -> DataFrame:
@@ -29,45 +29,101 @@ def label_matches(source: DataFrame, target: DataFrame, label: str = "name") ->
     return s.join(least, ["pair", "_k"]).groupBy("pair", "source_id").agg(F.min("target_id").alias("target_id")).withColumn("score", F.lit(1.0))
 
 
-def _blocks(vectors: DataFrame, id: str, block: int, side: str) -> DataFrame:
-    size = vectors.groupBy("pair").agg(F.count(F.lit(1)).alias("_n"))
-    cut = vectors.join(size, "pair").withColumn("_b", F.pmod(F.xxhash64(id), F.greatest(F.lit(1), F.ceil(F.col("_n") / block))).cast("int"))
-    return cut.groupBy("pair", "_b").agg(F.collect_list(F.struct(F.col(id).alias("id"), F.col("vector").cast("array<double>").alias("v"))).alias(side)).withColumnRenamed("_b", f"{side}_b")
+_FOUND = pa.schema([("pair", pa.string()), ("source_id", pa.string()), ("target_id", pa.string()), ("score", pa.float64())])
+_FOUND_SQL = "pair string, source_id string, target_id string, score double"
 
 
-def similarity_top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+class _Best:
+    """The ``k`` best targets so far of each of some queries: scores falling, then ids rising."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.name = k, np.full((queries, 0), -np.inf), np.zeros((queries, 0), object)
+
+    def add(self, score: np.ndarray, names: np.ndarray) -> None:
+        """``score`` has a row for each query and a column for each of ``names``; minus infinity is no candidate."""
+        order = np.argsort(names, kind="stable")
+        score, names = score[:, order], names[order]
+        top = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
+        s = np.concatenate([self.score, np.take_along_axis(score, top, 1)], 1)
+        n = np.concatenate([self.name, names[top]], 1)
+        by_name = np.argsort(n, axis=1, kind="stable")
+        s, n = np.take_along_axis(s, by_name, 1), np.take_along_axis(n, by_name, 1)
+        top = np.argsort(-s, axis=1, kind="stable")[:, : self.k]
+        self.score, self.name = np.take_along_axis(s, top, 1), np.take_along_axis(n, top, 1)
+
+    def batch(self, pair: str, queries: list[str]) -> pa.RecordBatch:
+        r, c = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array([pair] * len(r), pa.string()), pa.array([queries[i] for i in r], pa.string()), pa.array(self.name[r, c].tolist(), pa.string()), pa.array(self.score[r, c])], schema=_FOUND)
+
+
+def _portions(queries: DataFrame, order: Sequence[str], block: int) -> Iterator[list]:
+    """A query set in blocks of at most ``block`` rows, each small enough for every task; one pass over the rows for each."""
+    saved, n = Scratch(queries.sparkSession, "queries").save(queries.withColumn("_at", F.pmod(F.xxhash64(*order), F.lit(1 << 30))))
+    parts = max(1, -(-n["rows"] // block) * 2 if n["rows"] > block else 1)
+    for p in range(parts):
+        got = saved.filter(F.floor(F.col("_at") * parts / (1 << 30)) == p).drop("_at").collect() if n["rows"] else []
+        if got:
+            yield got
+
+
+def _union(found: list[DataFrame], like: DataFrame) -> DataFrame:
+    out = like.sparkSession.createDataFrame([], _FOUND_SQL) if not found else found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def similarity_top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, others: bool = True) -> DataFrame:
     """The ``k`` nearest targets by cosine of every query of the same pair, with ``rank``.
 
     ``queries`` has pair, source_id, vector; ``rows`` pair, target_id, vector. A stated query set
-    is held against all rows in blocks: blocks of bounded size meet, are multiplied as matrices,
-    and give only their local best to the final ranking. Null vectors don't count; scores are
-    rounded to 9 places so that equal vectors tie.
+    is held against all rows: it is broadcast in blocks of at most ``block`` queries, the rows
+    stream past as matrices, each task keeps the best of each query and only those are ranked. With
+    ``others`` a query does not find itself, the target of its own id. Null vectors don't count;
+    scores are rounded to 9 places so that equal vectors tie.
     """
-    unit = "array<struct<id:string,v:array<double>>>"
-    q = _blocks(queries.filter("vector is not null").select("pair", F.col("source_id").cast("string").alias("source_id"), "vector"), "source_id", block, "q").withColumn("q", F.col("q").cast(unit))
-    t = _blocks(rows.filter("vector is not null").select("pair", F.col("target_id").cast("string").alias("target_id"), "vector"), "target_id", block, "t").withColumn("t", F.col("t").cast(unit))
-    schema = pa.schema([("pair", pa.string()), ("source_id", pa.string()), ("target_id", pa.string()), ("score", pa.float64())])
+    q = queries.filter("vector is not null").select("pair", F.col("source_id").cast("string").alias("source_id"), F.col("vector").cast("array<double>").alias("vector"))
+    t = rows.filter("vector is not null").select("pair", F.col("target_id").cast("string").alias("target_id"), F.col("vector").cast("array<double>").alias("vector"))
 
-    def matrix(items: list[dict]) -> tuple[list[str], np.ndarray]:
-        m = np.array([x["v"] for x in items], dtype=np.float64)
+    def unit(m: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(m, axis=1, keepdims=True)
-        return [x["id"] for x in items], np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                pair = b.column(0)[i].as_py()
-                (qi, qm), (ti, tm) = matrix(b.column(1)[i].as_py()), matrix(b.column(2)[i].as_py())
-                s = np.round(qm @ tm.T, 9)
-                names = np.array(ti)
-                order = np.argsort(names, kind="stable")
-                s, names = s[:, order], names[order]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                n = best.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array([pair] * (len(qi) * n), pa.string()), pa.array(np.repeat(np.array(qi), n)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], schema=schema)
-
-    met = q.join(t, "pair").select("pair", "q", "t").repartition(F.col("pair"), F.xxhash64("q"), F.xxhash64("t"))
-    return top_k(met.mapInArrow(run, "pair string, source_id string, target_id string, score double"), k)
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+    def search(held):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets, best = held.value, {}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                pairs, names = np.array(b.column(0).to_pylist(), object), np.array(b.column(1).to_pylist(), object)
+                v = b.column(2)
+                whole = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if len({*np.diff(v.offsets.to_numpy()).tolist()}) == 1 else None
+                for pair in set(pairs) & set(sets):
+                    at = np.flatnonzero(pairs == pair)
+                    m = unit(whole[at] if whole is not None else np.array(v.take(pa.array(at)).to_pylist(), np.float64))
+                    ids, own = sets[pair]
+                    s = np.round(own @ m.T, 9)
+                    if others:
+                        place = {x: i for i, x in enumerate(ids)}
+                        for j, x in enumerate(names[at]):
+                            if x in place:
+                                s[place[x], j] = -np.inf
+                    best.setdefault(pair, _Best(len(ids), k)).add(s, names[at])
+            for pair, x in best.items():
+                yield x.batch(pair, sets[pair][0])
+
+        return run
+
+    found = []
+    for part in _portions(q, ["pair", "source_id"], block):
+        sets: dict = {}
+        for r in part:
+            sets.setdefault(r.pair, ([], []))
+            sets[r.pair][0].append(r.source_id)
+            sets[r.pair][1].append(r.vector)
+        held = q.sparkSession.sparkContext.broadcast({p: (i, unit(np.array(v, np.float64))) for p, (i, v) in sets.items()})
+        found.append(t.mapInArrow(search(held), _FOUND_SQL))
+    return top_k(_union(found, q), k)
 
 
 def hashed_vector(text: list[str | None], dim: int = 256) -> np.ndarray:
@@ -94,60 +150,64 @@ def encode(df: DataFrame, text: str, encoder=hashed_vector, out: str = "vector")
     return df.withColumn(out, run(F.col(text)))
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The ``k`` best documents of each query by Okapi BM25, with ``rank``; only positive scores.
 
-    ``queries`` has source_id, text (a fixed set, at most ``MAX_QUERY_WORDS`` different words);
-    ``docs`` has target_id, text. A word's idf is ln(N - df + 0.5) - ln(df + 0.5), a negative one
-    is replaced by a quarter of the mean over all words of the documents; repeated query words
-    count each time. Statistics cover all documents. Each task scores its documents against all
-    queries as a matrix and passes on its local best: no pairs are shuffled.
+    ``queries`` has source_id, text (a stated set); ``docs`` has target_id, text. A word's idf is
+    ln(N - df + 0.5) - ln(df + 0.5), a negative one is replaced by a quarter of the mean over all
+    words of the documents; repeated query words count each time. Statistics cover all documents.
+
+    The queries form an inverted index, words to the queries that hold them, broadcast in blocks of
+    at most ``block`` queries. Documents stream past it; each adds to the queries its own words lead to, each
+    task keeps the best of each query, and only those are ranked: no pairs are shuffled.
     """
     d = docs.select(F.col("target_id").cast("string").alias("target_id"), tokens(F.col("text")).alias("w"))
     q = queries.select(F.col("source_id").cast("string").alias("source_id"), tokens(F.col("text")).alias("w"))
-    asked = [(r.source_id, r.w) for r in q.orderBy("source_id").collect()]
-    words = sorted({w for _, x in asked for w in x})
-    if len(words) > MAX_QUERY_WORDS:
-        raise ValueError("too many query words")
+    df = d.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    df, _ = Scratch(d.sparkSession, "bm25").save(df)
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).collect()[0]
     n, mean = stats["n"], float(stats["mean"] or 1.0) or 1.0
-    df = d.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").count()
-    idf = F.log(n - F.col("count") + 0.5) - F.log(F.col("count") + 0.5)
+    idf = F.log(n - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
     average = float(df.agg(F.avg(idf)).collect()[0][0] or 0.0)
-    asked_words = d.sparkSession.createDataFrame([(w,) for w in words] or [("",)], "t string")
-    known = {r.t: float(r.idf) for r in df.join(F.broadcast(asked_words), "t").select("t", idf.alias("idf")).collect()}
-    weight = {w: (v if v >= 0 else EPSILON * average) for w, v in known.items()}
-    at = {w: i for i, w in enumerate(sorted(weight))}
-    m = np.zeros((len(at), len(asked)))
-    for j, (_, x) in enumerate(asked):
-        for w in x:
-            if w in at:
-                m[at[w], j] += weight[w]
-    names = [s for s, _ in asked]
-    schema = pa.schema([("pair", pa.string()), ("source_id", pa.string()), ("target_id", pa.string()), ("score", pa.float64())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for low in range(0, len(ids), 512):
-                some, part = ids[low : low + 512], texts[low : low + 512]
-                tf = np.zeros((len(some), len(at)))
-                size = np.array([len(x) for x in part], dtype=float)
-                for i, x in enumerate(part):
-                    for w in x:
-                        if (c := at.get(w)) is not None:
-                            tf[i, c] += 1
-                s = np.round((tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / mean))[:, None])) @ m, 9)
-                label = np.array(some)
-                order = np.argsort(label, kind="stable")
-                s, label = s[order].T, label[order]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, best, 1)
-                keep = score > 0
-                rows, cols = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array([""] * len(rows), pa.string()), pa.array([names[r] for r in rows], pa.string()), pa.array(label[best[rows, cols]].tolist(), pa.string()), pa.array(score[rows, cols])], schema=schema)
-
-    return top_k(d.mapInArrow(run, "pair string, source_id string, target_id string, score double"), k).drop("pair")
+
+    def score(held):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, index, queries_, weights = held.value
+            best = _Best(len(names), k)
+            for b in batches:
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for low in range(0, len(ids), 256):
+                    part = texts[low : low + 256]
+                    s = np.zeros((len(part), len(names)))
+                    for i, x in enumerate(part):
+                        at = Counter(c for w in x if (c := index.get(w)) is not None)
+                        if at:
+                            room = K1 * (1 - B + B * len(x) / mean)
+                            for c, f in sorted(at.items()):
+                                s[i, queries_[c]] += weights[c] * (f * (K1 + 1) / (f + room))
+                    s = np.round(s.T, 9)
+                    best.add(np.where(s > 0, s, -np.inf), np.array(ids[low : low + 256], object))
+            yield best.batch("", names)
+
+        return run
+
+    found = []
+    for part in _portions(q, ["source_id"], block):
+        words = sorted({w for r in part for w in r.w})
+        asked = d.sparkSession.createDataFrame([(w,) for w in words] or [("",)], "t string")
+        known = {r.t: float(r.idf) for r in df.join(F.broadcast(asked), "t").select("t", idf.alias("idf")).collect()}  # at most the words of one block
+        held: dict[str, dict[int, float]] = {}
+        part = sorted(part, key=lambda r: r.source_id)
+        for j, r in enumerate(part):
+            for w in r.w:
+                if w in known:
+                    of = held.setdefault(w, {})
+                    of[j] = of.get(j, 0.0) + (known[w] if known[w] >= 0 else EPSILON * average)
+        terms = sorted(held)
+        index = {w: i for i, w in enumerate(terms)}
+        sent = d.sparkSession.sparkContext.broadcast(([r.source_id for r in part], index, [np.array(list(held[w]), np.int64) for w in terms], [np.array(list(held[w].values())) for w in terms]))
+        found.append(d.mapInArrow(score(sent), _FOUND_SQL))
+    return top_k(_union(found, d), k).drop("pair")
 
 
 def hybrid_union(first: DataFrame, second: DataFrame, total: int) -> DataFrame:

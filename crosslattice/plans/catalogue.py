@@ -265,11 +265,11 @@ def string_equiv_min_target(spark: SparkSession, d: str) -> DataFrame:
 def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.lit("all").alias("pair"), "vec_id", F.col("embedding").alias("vector"))
     q = e.filter("vec_id % 50 = 0").select("pair", F.col("vec_id").cast("string").alias("source_id"), "vector")
-    return retrieval.similarity_top_k(q, e.filter("vec_id % 50 <> 0").select("pair", F.col("vec_id").cast("string").alias("target_id"), "vector"), k)
+    return retrieval.similarity_top_k(q, e.select("pair", F.col("vec_id").cast("string").alias("target_id"), "vector"), k)
 
 
 _NEAR = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT q.vec_id::VARCHAR AS source_id, t.vec_id::VARCHAR AS target_id, round(list_dot_product(q.v, t.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(t.v, t.v))), 9) AS score FROM e q JOIN e t ON q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0),
+s AS (SELECT q.vec_id::VARCHAR AS source_id, t.vec_id::VARCHAR AS target_id, round(list_dot_product(q.v, t.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(t.v, t.v))), 9) AS score FROM e q JOIN e t ON q.vec_id % 50 = 0 AND t.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM s)"""
 
 
@@ -324,7 +324,7 @@ def hybrid_union(spark: SparkSession, d: str) -> DataFrame:
 def encoded_argmax(spark: SparkSession, d: str) -> DataFrame:
     e = retrieval.encode(table(spark, d, "eval_items").select("item_id", "suite", "text"), "text")
     q = e.filter("item_id % 50 = 0").select("suite", F.col("item_id").cast("string").alias("source_id"), "vector").withColumnRenamed("suite", "pair")
-    return rounded(retrieval.similarity_top_k(q, e.filter("item_id % 50 <> 0").select(F.col("suite").alias("pair"), F.col("item_id").cast("string").alias("target_id"), "vector"), 1))
+    return rounded(retrieval.similarity_top_k(q, e.select(F.col("suite").alias("pair"), F.col("item_id").cast("string").alias("target_id"), "vector"), 1))
 
 
 # -- graphs -----------------------------------------------------------------------------------

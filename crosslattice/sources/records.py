@@ -39,8 +39,17 @@ def read_taxonomies(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """``source``, ``target``, ``pair``, ``source_id``, ``target_id``, ``confidence`` (1 if unsaid) from an alignment JSON list."""
-    raw = spark.read.schema("source string, target string, matches array<struct<source_id:string,target_id:string,confidence:double>>").json(path, multiLine=True)
+    """``source``, ``target``, ``pair``, ``source_id``, ``target_id``, ``confidence`` (1 if unsaid) from alignments in JSON.
+
+    A file is either a list of alignments, read as a whole, or one alignment a line, as
+    ``write_alignments`` makes it; files that begin with a bracket are lists.
+    """
+    shape = "struct<source:string,target:string,matches:array<struct<source_id:string,target_id:string,confidence:double>>>"
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    lists = lines.filter(F.col("value").rlike(r"^\s*\[")).select("f").distinct()
+    single = lines.join(lists, "f", "left_anti").filter(F.col("value").rlike(r"\S")).select(F.from_json("value", shape).alias("a"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("f")).join(lists, "f", "left_semi").select(F.explode(F.from_json("value", f"array<{shape}>")).alias("a"))
+    raw = single.unionByName(whole).select("a.*")
     return raw.select("source", "target", F.explode("matches").alias("m")).select("source", "target", pair_key(F.col("source"), F.col("target")).alias("pair"), "m.source_id", "m.target_id", F.coalesce("m.confidence", F.lit(1.0)).alias("confidence"))
 
 
