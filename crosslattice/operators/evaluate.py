@@ -29,10 +29,10 @@ def evaluate(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     return _scores(g.join(p, "pair", "full_outer").select("pair", *zero))
 
 
-def summarise(per_pair: DataFrame) -> DataFrame:
-    """Means over pairs, and pooled figures from the sums."""
+def summarise(per_pair: DataFrame, *by: str) -> DataFrame:
+    """Means over pairs, and pooled figures from the sums; one row for each of ``by``, or for all."""
     t, p, g = F.sum("tp"), F.sum("predicted"), F.sum("gold")
-    return per_pair.agg(
+    return per_pair.groupBy(*by).agg(
         F.count(F.lit(1)).alias("pairs"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"),
         t.alias("tp"), p.alias("predicted"), g.alias("gold"), ratio(t, p).alias("pooled_precision"), ratio(t, g).alias("pooled_recall"), ratio(2 * t, p + g).alias("pooled_f1"),
     )

@@ -18,37 +18,38 @@ def _others_mean(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumn("others", F.round(F.when(n > 1, (F.sum("f1").over(w) - F.col("f1")) / F.when(n > 1, n - 1)), 12))
 
 
-def loo_threshold(sweep: DataFrame) -> DataFrame:
+def loo_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``pair``, ``threshold`` and the pair's own scores at it: the best mean F1 of the other pairs, the lowest of equal ones.
 
-    ``sweep`` has one row for each pair and threshold of one approach. A single pair has no others and gives no row.
+    ``sweep`` has one row for each pair and threshold; ``by`` names the columns, as the
+    approach, that tell separate problems apart. A single pair has no others and gives no row.
     """
-    rated = _others_mean(sweep, ["threshold"]).filter("others is not null")
-    w = Window.partitionBy("pair").orderBy(F.desc("others"), F.asc("threshold"))
+    rated = _others_mean(sweep, [*by, "threshold"]).filter("others is not null")
+    w = Window.partitionBy(*by, "pair").orderBy(F.desc("others"), F.asc("threshold"))
     return rated.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "others")
 
 
-def loo_mode(scores: DataFrame, modes: Sequence[str]) -> DataFrame:
-    """``pair``, ``mode``, ``f1``: each pair with the mode that is best on the others; of equal ones the first of ``modes``."""
-    rated = _others_mean(scores.filter(F.col("mode").isin(list(modes))), ["mode"]).filter("others is not null")
+def loo_mode(scores: DataFrame, modes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``pair``, ``mode``, ``f1``: each pair with the mode that is best on the others; of equal ones the first of ``modes``."""
+    rated = _others_mean(scores.filter(F.col("mode").isin(list(modes))), [*by, "mode"]).filter("others is not null")
     place = F.array_position(F.lit(list(modes)), F.col("mode"))
-    w = Window.partitionBy("pair").orderBy(F.desc("others"), place)
-    return rated.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("pair", "mode", "f1")
+    w = Window.partitionBy(*by, "pair").orderBy(F.desc("others"), place)
+    return rated.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*by, "pair", "mode", "f1")
 
 
-def loo_joint(sweep: DataFrame, modes: Sequence[str]) -> DataFrame:
-    """``pair``, ``mode``, ``threshold``, ``f1``: mode and threshold chosen together on the other pairs; lowest threshold, then mode order."""
-    rated = _others_mean(sweep.filter(F.col("mode").isin(list(modes))), ["mode", "threshold"]).filter("others is not null")
-    w = Window.partitionBy("pair").orderBy(F.desc("others"), F.asc("threshold"), F.array_position(F.lit(list(modes)), F.col("mode")))
-    return rated.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("pair", "mode", "threshold", "f1")
+def loo_joint(sweep: DataFrame, modes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``pair``, ``mode``, ``threshold``, ``f1``: mode and threshold chosen together on the other pairs; lowest threshold, then mode order."""
+    rated = _others_mean(sweep.filter(F.col("mode").isin(list(modes))), [*by, "mode", "threshold"]).filter("others is not null")
+    w = Window.partitionBy(*by, "pair").orderBy(F.desc("others"), F.asc("threshold"), F.array_position(F.lit(list(modes)), F.col("mode")))
+    return rated.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*by, "pair", "mode", "threshold", "f1")
 
 
-def mode_aggregates(scores: DataFrame, modes: Sequence[str]) -> DataFrame:
-    """One row: mean over modes then pairs, mean with the mode chosen on the others, and the best mode of each pair (an oracle)."""
+def mode_aggregates(scores: DataFrame, modes: Sequence[str], by: Sequence[str] = ("approach",)) -> DataFrame:
+    """One row for each of ``by``: mean over modes then pairs, mean with the mode chosen on the others, and the best mode of each pair (an oracle)."""
     core = scores.filter(F.col("mode").isin(list(modes)))
-    per = core.groupBy("pair").agg(F.avg("f1").alias("m"), F.max("f1").alias("o"))
-    loo = loo_mode(scores, modes).agg(F.avg("f1").alias("loo_f1"))
-    return per.agg(F.avg("m").alias("mean_f1"), F.avg("o").alias("oracle_f1"), F.count(F.lit(1)).alias("pairs")).crossJoin(F.broadcast(loo))
+    per = core.groupBy(*by, "pair").agg(F.avg("f1").alias("m"), F.max("f1").alias("o"))
+    loo = loo_mode(scores, modes, by).groupBy(*by).agg(F.avg("f1").alias("loo_f1"))
+    return per.groupBy(*by).agg(F.avg("m").alias("mean_f1"), F.avg("o").alias("oracle_f1"), F.count(F.lit(1)).alias("pairs")).join(loo, list(by))
 
 
 def configurations(scores: DataFrame, modes: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslattice.functions.text import collapsed, concept_text, description, label_key, pair_key, safe_id, synonym_first
@@ -57,20 +57,42 @@ m AS (SELECT pair, approach, mode, a.z AS source_id, b.z AS target_id, confidenc
 """
 
 
-def _predictions(spark: SparkSession, d: str, approach: str = "embedding-a") -> DataFrame:
-    m = _matches(spark, d).filter(F.col("approach") == approach)
-    return assign.clean(m.withColumn("score", F.col("confidence")))
+REFERENCE = "string-equiv"
+
+
+def _keyed_pair(pair: str = "pair") -> Column:
+    """Each approach is a problem of its own: its name stands before the pair's."""
+    return F.concat(F.col("approach"), F.lit("|"), F.col(pair))
+
+
+def _approach() -> Column:
+    return F.split("pair", r"\|")[0]
+
+
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    """All mappings but the reference, every approach."""
+    return _matches(spark, d).filter(F.col("approach") != REFERENCE)
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    return assign.clean(_audited(spark, d).withColumn("pair", _keyed_pair()).withColumn("score", F.col("confidence")))
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d).filter("approach = 'string-equiv'").select("pair", "source_id", "target_id").distinct()
+    return _matches(spark, d).filter(F.col("approach") == REFERENCE).select("pair", "source_id", "target_id").distinct()
+
+
+def _gold_for_all(spark: SparkSession, d: str) -> DataFrame:
+    """The reference once for each approach; approaches are a short list."""
+    names = sorted(r[0] for r in table(spark, d, "matches").select("approach").distinct().collect() if r[0] not in (None, REFERENCE))
+    return _gold(spark, d).withColumn("approach", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))).select(_keyed_pair().alias("pair"), "source_id", "target_id")
 
 
 _PRED = (
     _M
     + """
-pred AS (SELECT pair, source_id, target_id, max(confidence) AS score FROM m WHERE approach = 'embedding-a' AND confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY ALL),
-gold AS (SELECT DISTINCT pair, source_id, target_id FROM m WHERE approach = 'string-equiv'),
+pred AS (SELECT approach || '|' || pair AS pair, source_id, target_id, max(confidence) AS score FROM m WHERE approach <> 'string-equiv' AND confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY ALL),
+gold AS (SELECT DISTINCT a.approach || '|' || pair AS pair, source_id, target_id FROM m, (SELECT DISTINCT approach FROM matches WHERE approach <> 'string-equiv') a WHERE m.approach = 'string-equiv'),
 best AS (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY pair, source_id ORDER BY score DESC, target_id) = 1),
 hits AS (SELECT b.*, g.pair IS NOT NULL AS hit FROM best b LEFT JOIN gold g ON g.pair = b.pair AND g.source_id = b.source_id AND g.target_id = b.target_id),
 counts AS (SELECT COALESCE(p.pair, g.pair) AS pair, COALESCE(g.gold, 0) AS gold, COALESCE(p.predicted, 0) AS predicted, COALESCE(p.tp, 0) AS tp
@@ -86,17 +108,17 @@ _PRF = "CASE WHEN predicted = 0 THEN 0.0 ELSE tp * 1.0::DOUBLE / predicted END A
 
 @query(_PRED + f"x AS (SELECT 1) SELECT pair, gold, predicted, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM (SELECT *, {_PRF} FROM counts)")
 def prf_by_pair(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.evaluate(_predictions(spark, d), _gold(spark, d)))
+    return rounded(evaluate.evaluate(_predictions(spark, d), _gold_for_all(spark, d)))
 
 
 @query(
     _PRED
     + f"""s AS (SELECT *, {_PRF} FROM counts)
-SELECT count(*) AS pairs, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
- CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(gold) AS BIGINT) AS gold, round(sum(tp) / sum(predicted), 6) AS pooled_precision, round(sum(tp) / sum(gold), 6) AS pooled_recall, round(2 * sum(tp) / (sum(predicted) + sum(gold)), 6) AS pooled_f1 FROM s"""
+SELECT split_part(pair, '|', 1) AS approach, count(*) AS pairs, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
+ CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(gold) AS BIGINT) AS gold, round(sum(tp) / sum(predicted), 6) AS pooled_precision, round(sum(tp) / sum(gold), 6) AS pooled_recall, round(2 * sum(tp) / (sum(predicted) + sum(gold)), 6) AS pooled_f1 FROM s GROUP BY ALL"""
 )
 def prf_macro_pooled(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.summarise(evaluate.evaluate(_predictions(spark, d), _gold(spark, d))))
+    return rounded(evaluate.summarise(evaluate.evaluate(_predictions(spark, d), _gold_for_all(spark, d)).withColumn("approach", _approach()), "approach"))
 
 
 _SWEEP = (
@@ -112,17 +134,17 @@ sweep AS (SELECT *, {_PRF} FROM swept)
 
 @query(_SWEEP + "SELECT pair, threshold, gold, predicted, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM sweep")
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.threshold_sweep(_predictions(spark, d), _gold(spark, d)))
+    return rounded(evaluate.threshold_sweep(_predictions(spark, d), _gold_for_all(spark, d)))
 
 
 @query(
     _SWEEP
-    + """, o AS (SELECT a.pair, a.threshold, a.f1, (SELECT round((sum(b.f1) - a.f1) / (count(*) - 1), 12) FROM sweep b WHERE b.threshold = a.threshold) AS others FROM sweep a)
+    + """, o AS (SELECT a.pair, a.threshold, a.f1, (SELECT round((sum(b.f1) - a.f1) / (count(*) - 1), 12) FROM sweep b WHERE b.threshold = a.threshold AND split_part(b.pair, '|', 1) = split_part(a.pair, '|', 1)) AS others FROM sweep a)
 SELECT pair, threshold, round(f1, 6) AS f1 FROM o QUALIFY row_number() OVER (PARTITION BY pair ORDER BY others DESC, threshold) = 1"""
 )
 def loo_threshold(spark: SparkSession, d: str) -> DataFrame:
-    sweep, _ = Scratch(spark, "sweep").save(evaluate.threshold_sweep(_predictions(spark, d), _gold(spark, d)))
-    return rounded(selection.loo_threshold(sweep).select("pair", "threshold", "f1"))
+    sweep, _ = Scratch(spark, "sweep").save(evaluate.threshold_sweep(_predictions(spark, d), _gold_for_all(spark, d)))
+    return rounded(selection.loo_threshold(sweep.withColumn("approach", _approach()), ["approach"]).select("pair", "threshold", "f1"))
 
 
 _CAND = """
@@ -162,9 +184,9 @@ def calibration_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.calibration(table(spark, d, "judgements").filter("is_match is not null"), "confidence", "is_match"))
 
 
-@query(_M + "x AS (SELECT 1) SELECT pair, count(*) - count(DISTINCT target_id) AS collisions FROM m WHERE approach = 'embedding-a' GROUP BY pair")
+@query(_M + "x AS (SELECT 1) SELECT approach || '|' || pair AS pair, count(*) - count(DISTINCT target_id) AS collisions FROM m GROUP BY approach, pair")
 def target_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.target_collisions(_matches(spark, d).filter("approach = 'embedding-a'"))
+    return evaluate.target_collisions(_matches(spark, d).withColumn("pair", _keyed_pair()))
 
 
 # -- assignment -------------------------------------------------------------------------------
@@ -198,7 +220,8 @@ def judged_mapping(spark: SparkSession, d: str) -> DataFrame:
 @query(_CAND + "a AS (SELECT count(*) AS n FROM c WHERE score >= 0.7), b AS (SELECT count(*) AS n FROM c WHERE score > 0.7) SELECT a.n AS inclusive, b.n AS exclusive FROM a, b")
 def filter_strict_vs_inclusive(spark: SparkSession, d: str) -> DataFrame:
     c = _candidates(spark, d)
-    return c.agg(F.count_if(F.col("score") >= 0.7).alias("inclusive"), F.count_if(F.col("score") > 0.7).alias("exclusive"))
+    n = F.count(F.lit(1))
+    return assign.above(c, 0.7).agg(n.alias("inclusive")).crossJoin(assign.strictly_above(c, 0.7).agg(n.alias("exclusive")))
 
 
 @query(
@@ -309,13 +332,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _CAND
     + """a AS (SELECT pair, source_id, target_id, score, 0 AS list, rank FROM ranked WHERE rank <= 3),
-b0 AS (SELECT pair, source_id, candidate_id AS target_id, max(confidence) AS score FROM judgements WHERE approach = 'llm-beta' AND regexp_matches(candidate_id, '\\S') AND confidence IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1.000001 GROUP BY ALL),
+b0 AS (SELECT pair, source_id, candidate_id AS target_id, max(confidence) AS score FROM judgements WHERE approach LIKE 'llm-%' AND regexp_matches(candidate_id, '\\S') AND confidence IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1.000001 GROUP BY ALL),
 b AS (SELECT pair, source_id, target_id, score, 1 AS list, row_number() OVER (PARTITION BY pair, source_id ORDER BY score DESC, target_id) AS rank FROM b0 QUALIFY rank <= 5),
 u AS (SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY pair, source_id, target_id ORDER BY list, rank) = 1)
 SELECT pair, source_id, target_id, round(score, 6) AS score, list, row_number() OVER (PARTITION BY pair, source_id ORDER BY list, u.rank, target_id) AS rank FROM u QUALIFY row_number() OVER (PARTITION BY pair, source_id ORDER BY list, u.rank, target_id) <= 5"""
 )
 def hybrid_union(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "judgements").filter("approach = 'llm-beta'").filter(F.col("confidence").between(0, 1.000001)).select("pair", "source_id", F.col("candidate_id").alias("target_id"), F.col("confidence").alias("score"))
+    b = table(spark, d, "judgements").filter("approach like 'llm-%'").filter(F.col("confidence").between(0, 1.000001)).select("pair", "source_id", F.col("candidate_id").alias("target_id"), F.col("confidence").alias("score"))
     u = retrieval.hybrid_union(assign.top_k(_candidates(spark, d), 3), assign.top_k(assign.clean(b), 5), 5)
     return rounded(u).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -444,7 +467,7 @@ def taxonomy_findings(spark: SparkSession, d: str) -> DataFrame:
     return consistency.taxonomy_findings(spark, n, e, _disjoint(spark, d))
 
 
-_MX = _M + _G.replace("WITH RECURSIVE ", "") + _DIS + ", mm AS (SELECT DISTINCT pair, source_id, target_id FROM m WHERE approach = 'embedding-a'), "
+_MX = _M + _G.replace("WITH RECURSIVE ", "") + _DIS + ", mm AS (SELECT DISTINCT approach || '|' || pair AS pair, source_id, target_id FROM m WHERE approach <> 'string-equiv'), "
 _CARD = "card AS (SELECT pair, 'source' AS side, source_id AS node_id, count(*) AS n FROM mm GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT pair, 'target', target_id, count(*) FROM mm GROUP BY ALL HAVING count(*) > 1)"
 _REL = "rel AS (SELECT DISTINCT node_id AS a, anc AS b FROM closure UNION SELECT DISTINCT anc, node_id FROM closure), dxy AS (SELECT DISTINCT x, y FROM dp)"
 _CLASH = "cl AS (SELECT a.pair, d.x, d.y, a.target_id AS mx, b.target_id AS my FROM dxy d JOIN mm a ON a.source_id = d.x JOIN mm b ON b.pair = a.pair AND b.source_id = d.y LEFT JOIN rel r ON r.a = a.target_id AND r.b = b.target_id WHERE a.target_id = b.target_id OR r.a IS NOT NULL), ct AS (SELECT a.pair, d.x, d.y, a.source_id AS mx, b.source_id AS my FROM dxy d JOIN mm a ON a.target_id = d.x JOIN mm b ON b.pair = a.pair AND b.target_id = d.y LEFT JOIN rel r ON r.a = a.source_id AND r.b = b.source_id WHERE a.source_id = b.source_id OR r.a IS NOT NULL)"
@@ -454,7 +477,7 @@ _ALL = _MX + ", ".join((_CARD, _REL, _CLASH, _SUB, _FLAGS))
 
 
 def _mapping(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d).filter("approach = 'embedding-a'").select("pair", "source_id", "target_id").distinct()
+    return _audited(spark, d).select(_keyed_pair().alias("pair"), "source_id", "target_id").distinct()
 
 
 def _flags(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -495,7 +518,7 @@ def filter_flagged(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _ALL
-    + """, gd AS (SELECT DISTINCT pair, source_id, target_id FROM m WHERE approach = 'string-equiv'), ff AS (SELECT DISTINCT pair, source_id, target_id FROM fl),
+    + """, gd AS (SELECT DISTINCT a.approach || '|' || pair AS pair, source_id, target_id FROM m, (SELECT DISTINCT approach FROM matches WHERE approach <> 'string-equiv') a WHERE m.approach = 'string-equiv'), ff AS (SELECT DISTINCT pair, source_id, target_id FROM fl),
 j AS (SELECT mm.pair, f.pair IS NOT NULL AS f, g.pair IS NULL AS wrong FROM mm LEFT JOIN ff f USING (pair, source_id, target_id) LEFT JOIN gd g USING (pair, source_id, target_id)),
 c AS (SELECT pair, count(*) AS matches, count(*) FILTER (f) AS flagged, count(*) FILTER (f AND wrong) AS flagged_errors, count(*) FILTER (wrong) AS errors FROM j GROUP BY pair)
 SELECT *, round(CASE WHEN flagged = 0 THEN 0 ELSE flagged_errors / flagged END, 6) AS error_precision, round(CASE WHEN errors = 0 THEN 0 ELSE flagged_errors / errors END, 6) AS error_recall, round(errors / matches, 6) AS base_error_rate,
@@ -503,7 +526,7 @@ SELECT *, round(CASE WHEN flagged = 0 THEN 0 ELSE flagged_errors / flagged END,
 )
 def flag_quality(spark: SparkSession, d: str) -> DataFrame:
     m, f = _flags(spark, d)
-    return rounded(consistency.flag_quality(m, f, _gold(spark, d)))
+    return rounded(consistency.flag_quality(m, f, _gold_for_all(spark, d)))
 
 
 # -- selection and statistics -----------------------------------------------------------------
@@ -539,11 +562,11 @@ def mode_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _F1
-    + """, o AS (SELECT a.*, round((sum(f1) OVER (PARTITION BY mode) - f1) / (count(*) OVER (PARTITION BY mode) - 1), 12) AS others FROM sc a WHERE approach = 'embedding-a' AND mode IN ('concept', 'concept-parent', 'concept-children'))
-SELECT pair, mode, round(f1, 6) AS f1 FROM o QUALIFY row_number() OVER (PARTITION BY pair ORDER BY others DESC, CASE mode WHEN 'concept' THEN 0 WHEN 'concept-parent' THEN 1 ELSE 2 END) = 1"""
+    + """, o AS (SELECT a.*, round((sum(f1) OVER (PARTITION BY approach, mode) - f1) / (count(*) OVER (PARTITION BY approach, mode) - 1), 12) AS others FROM sc a WHERE mode IN ('concept', 'concept-parent', 'concept-children'))
+SELECT approach, pair, mode, round(f1, 6) AS f1 FROM o QUALIFY row_number() OVER (PARTITION BY approach, pair ORDER BY others DESC, CASE mode WHEN 'concept' THEN 0 WHEN 'concept-parent' THEN 1 ELSE 2 END) = 1"""
 )
 def loo_mode(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(selection.loo_mode(_mode_scores(spark, d).filter("approach = 'embedding-a'"), MODES))
+    return rounded(selection.loo_mode(_mode_scores(spark, d), MODES, ["approach"]))
 
 
 _CONF = _F1 + ", pm AS (SELECT approach, pair, avg(f1) AS raw, max(f1) AS best FROM sc WHERE mode IN ('concept', 'concept-parent', 'concept-children') GROUP BY ALL), cf AS (SELECT approach, 'raw' AS variant, pair, raw AS f1 FROM pm UNION ALL SELECT approach, 'oracle', pair, best FROM pm UNION ALL SELECT approach, 'ensemble', pair, f1 FROM sc WHERE mode = 'ensemble')"
@@ -771,22 +794,22 @@ def gnn_forward(spark: SparkSession, d: str) -> DataFrame:
     return out.select("tax", "node_id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
-_CORE = "core AS (SELECT * FROM sc WHERE approach = 'embedding-a' AND mode IN ('concept', 'concept-parent', 'concept-children'))"
+_CORE = "core AS (SELECT * FROM sc WHERE mode IN ('concept', 'concept-parent', 'concept-children'))"
 
 
 @query(
     _F1
-    + f""", {_CORE}, per AS (SELECT pair, avg(f1) AS m, max(f1) AS o FROM core GROUP BY pair),
-o AS (SELECT *, round((sum(f1) OVER (PARTITION BY mode) - f1) / (count(*) OVER (PARTITION BY mode) - 1), 12) AS others FROM core), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY pair ORDER BY others DESC, CASE mode WHEN 'concept' THEN 0 WHEN 'concept-parent' THEN 1 ELSE 2 END) = 1)
-SELECT round((SELECT avg(m) FROM per), 6) AS mean_f1, round((SELECT avg(o) FROM per), 6) AS oracle_f1, (SELECT count(*) FROM per) AS pairs, round((SELECT avg(f1) FROM l), 6) AS loo_f1"""
+    + f""", {_CORE}, per AS (SELECT approach, pair, avg(f1) AS m, max(f1) AS o FROM core GROUP BY ALL),
+o AS (SELECT *, round((sum(f1) OVER (PARTITION BY approach, mode) - f1) / (count(*) OVER (PARTITION BY approach, mode) - 1), 12) AS others FROM core), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY approach, pair ORDER BY others DESC, CASE mode WHEN 'concept' THEN 0 WHEN 'concept-parent' THEN 1 ELSE 2 END) = 1)
+SELECT approach, round(avg(m), 6) AS mean_f1, round(avg(o), 6) AS oracle_f1, count(*) AS pairs, round(ANY_VALUE(x.f1), 6) AS loo_f1 FROM per JOIN (SELECT approach, avg(f1) AS f1 FROM l GROUP BY ALL) x USING (approach) GROUP BY approach"""
 )
 def mode_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(selection.mode_aggregates(_mode_scores(spark, d).filter("approach = 'embedding-a'"), MODES))
+    return rounded(selection.mode_aggregates(_mode_scores(spark, d), MODES, ["approach"]))
 
 
-@query(_PRED + f"s AS (SELECT *, {_PRF} FROM counts) SELECT 'embedding-a' AS approach, sum(round_even(precision * predicted, 0))::BIGINT AS tp, sum(predicted)::BIGINT AS predicted, sum(gold)::BIGINT AS gold, round(2 * sum(round_even(precision * predicted, 0)) / (sum(predicted) + sum(gold)), 6) AS pooled_f1 FROM s")
+@query(_PRED + f"s AS (SELECT *, {_PRF} FROM counts) SELECT split_part(pair, '|', 1) AS approach, sum(round_even(precision * predicted, 0))::BIGINT AS tp, sum(predicted)::BIGINT AS predicted, sum(gold)::BIGINT AS gold, round(2 * sum(round_even(precision * predicted, 0)) / (sum(predicted) + sum(gold)), 6) AS pooled_f1 FROM s GROUP BY ALL")
 def pooled_from_records(spark: SparkSession, d: str) -> DataFrame:
-    r = evaluate.evaluate(_predictions(spark, d), _gold(spark, d)).withColumn("approach", F.lit("embedding-a"))
+    r = evaluate.evaluate(_predictions(spark, d), _gold_for_all(spark, d)).withColumn("approach", _approach())
     return rounded(evaluate.pooled_from_records(r))
 
 
@@ -797,18 +820,18 @@ def pivot_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _F1
-    + """, th AS (SELECT unnest([0.0, 0.5, 0.7, 0.9])::DOUBLE AS threshold), pm AS (SELECT DISTINCT mode, pair FROM bp WHERE approach = 'embedding-a' AND mode IN ('concept', 'concept-parent', 'concept-children')),
-hs AS (SELECT b.*, gold.pair IS NOT NULL AS hit FROM (SELECT * FROM bp WHERE approach = 'embedding-a') b LEFT JOIN gold USING (pair, source_id, target_id)),
-sw AS (SELECT pm.mode, pm.pair, th.threshold, count(hs.pair) AS n, count(*) FILTER (hs.hit) AS tp, COALESCE(ANY_VALUE(gc.g), 0) AS g FROM pm CROSS JOIN th LEFT JOIN hs ON hs.mode = pm.mode AND hs.pair = pm.pair AND hs.score >= th.threshold LEFT JOIN gc ON gc.pair = pm.pair GROUP BY ALL),
-sf AS (SELECT mode, pair, threshold, CASE WHEN tp = 0 THEN 0.0 ELSE 2.0::DOUBLE * tp / (n + g) END AS f1 FROM sw),
-o AS (SELECT *, round((sum(f1) OVER (PARTITION BY mode, threshold) - f1) / (count(*) OVER (PARTITION BY mode, threshold) - 1), 12) AS others FROM sf)
-SELECT pair, mode, threshold, round(f1, 6) AS f1 FROM o QUALIFY row_number() OVER (PARTITION BY pair ORDER BY others DESC, threshold, CASE mode WHEN 'concept' THEN 0 WHEN 'concept-parent' THEN 1 ELSE 2 END) = 1"""
+    + """, th AS (SELECT unnest([0.0, 0.5, 0.7, 0.9])::DOUBLE AS threshold), pm AS (SELECT DISTINCT approach, mode, pair FROM bp WHERE mode IN ('concept', 'concept-parent', 'concept-children')),
+hs AS (SELECT b.*, gold.pair IS NOT NULL AS hit FROM bp b LEFT JOIN gold USING (pair, source_id, target_id)),
+sw AS (SELECT pm.approach, pm.mode, pm.pair, th.threshold, count(hs.pair) AS n, count(*) FILTER (hs.hit) AS tp, COALESCE(ANY_VALUE(gc.g), 0) AS g FROM pm CROSS JOIN th LEFT JOIN hs ON hs.approach = pm.approach AND hs.mode = pm.mode AND hs.pair = pm.pair AND hs.score >= th.threshold LEFT JOIN gc ON gc.pair = pm.pair GROUP BY ALL),
+sf AS (SELECT approach, mode, pair, threshold, CASE WHEN tp = 0 THEN 0.0 ELSE 2.0::DOUBLE * tp / (n + g) END AS f1 FROM sw),
+o AS (SELECT *, round((sum(f1) OVER (PARTITION BY approach, mode, threshold) - f1) / (count(*) OVER (PARTITION BY approach, mode, threshold) - 1), 12) AS others FROM sf)
+SELECT approach, pair, mode, threshold, round(f1, 6) AS f1 FROM o QUALIFY row_number() OVER (PARTITION BY approach, pair ORDER BY others DESC, threshold, CASE mode WHEN 'concept' THEN 0 WHEN 'concept-parent' THEN 1 ELSE 2 END) = 1"""
 )
 def loo_mode_and_threshold(spark: SparkSession, d: str) -> DataFrame:
-    m = _matches(spark, d).filter("approach = 'embedding-a' and confidence is not null").filter(F.col("mode").isin(MODES)).withColumn("score", F.col("confidence"))
-    both = F.concat_ws("\u0001", "mode", "pair")
+    m = _audited(spark, d).filter("confidence is not null").filter(F.col("mode").isin(MODES)).withColumn("score", F.col("confidence"))
+    both = F.concat_ws("\u0001", "approach", "mode", "pair")
     gold = _gold(spark, d)
-    wide = m.select("mode", "pair").distinct().join(gold, "pair").select(both.alias("pair"), "source_id", "target_id")
+    wide = m.select("approach", "mode", "pair").distinct().join(gold, "pair").select(both.alias("pair"), "source_id", "target_id")
     s = evaluate.threshold_sweep(assign.clean(m.withColumn("pair", both)), wide, (0.0, 0.5, 0.7, 0.9))
-    s, _ = Scratch(spark, "joint").save(s.select(F.split("pair", "\u0001")[0].alias("mode"), F.split("pair", "\u0001")[1].alias("pair"), "threshold", "f1"))
-    return rounded(selection.loo_joint(s, MODES))
+    s, _ = Scratch(spark, "joint").save(s.select(*[F.split("pair", "\u0001")[i].alias(c) for i, c in enumerate(("approach", "mode", "pair"))], "threshold", "f1"))
+    return rounded(selection.loo_joint(s, MODES, ["approach"]))
