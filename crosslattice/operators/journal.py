@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosslattice.functions.numbers import finite_number
+from crosslattice.operators.statistics import exact_percentiles
 
 
 def requests(candidates: DataFrame, texts: DataFrame, model: str, instructions: str = "Candidate {index}") -> DataFrame:
@@ -70,10 +71,15 @@ def integrity_errors(expected: DataFrame, journal: DataFrame) -> DataFrame:
     return j.select("key", problem.alias("problem")).filter("problem is not null").unionByName(duplicates(journal).select("key", F.lit("repeated success").alias("problem")))
 
 
-def within_budget(pending: DataFrame, part: str, order: list[str], cost: str, budget: float) -> DataFrame:
-    """The rows of each part, in order, whose running cost stays within the budget; a null cost is 0. Adds ``spent``."""
+def charge(cost: Column, most: float) -> Column:
+    """What a call counts against a budget: its cost if that is a finite number of at least 0, else the most a call can cost."""
+    return F.when(cost.isNotNull() & ~F.isnan(cost) & (cost >= 0) & (cost < float("inf")), cost).otherwise(F.lit(most))
+
+
+def within_budget(pending: DataFrame, part: str, order: list[str], cost: str, budget: float, most: float = 0.0) -> DataFrame:
+    """The rows of each part, in order, whose running cost stays within the budget; a cost that is unknown counts as ``most``. Adds ``spent``."""
     w = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return pending.withColumn("spent", F.sum(F.coalesce(F.col(cost), F.lit(0.0))).over(w)).filter(F.col("spent") <= budget)
+    return pending.withColumn("spent", F.sum(charge(F.col(cost).cast("double"), most)).over(w)).filter(F.col("spent") <= budget)
 
 
 def collect(pending: DataFrame, call: Callable[[str], tuple[int, str | None, str | None]], partitions: int = 8) -> DataFrame:
@@ -99,14 +105,75 @@ def collect(pending: DataFrame, call: Callable[[str], tuple[int, str | None, str
 
 
 def accounting(journal: DataFrame, mode: str, latency: str, cost: str, failed: Column) -> DataFrame:
-    """By mode and in all (mode null): attempts, successes, cost with how often it is known, latency of successes with percentiles."""
+    """By mode and in all (``whole`` true, mode null): attempts, successes, cost with how often it is known, latency of successes with exact percentiles."""
     x = F.when(~failed, F.col(latency))
     base = journal.select(F.col(mode).alias("mode"), failed.alias("failed"), F.col(cost).cast("double").alias("cost"), x.alias("latency"))
     n = F.count(F.lit(1))
-    return base.cube("mode").agg(
-        n.alias("attempts"), F.count_if(~F.col("failed")).alias("successes"), F.sum("cost").alias("cost"), F.count("cost").alias("cost_known"), (n - F.count("cost")).alias("cost_missing"),
-        F.min("latency").alias("latency_min"), F.avg("latency").alias("latency_mean"), F.max("latency").alias("latency_max"), F.percentile("latency", 0.5).alias("p50"), F.percentile("latency", 0.9).alias("p90"), F.percentile("latency", 0.95).alias("p95"),
+    figures = base.cube("mode").agg(
+        (F.grouping("mode") == 1).alias("whole"), n.alias("attempts"), F.count_if(~F.col("failed")).alias("successes"), F.sum("cost").alias("cost"), F.count("cost").alias("cost_known"), (n - F.count("cost")).alias("cost_missing"),
+        F.min("latency").alias("latency_min"), F.avg("latency").alias("latency_mean"), F.max("latency").alias("latency_max"),
     )
+    both = base.select(F.explode(F.array(F.struct("mode", F.lit(False).alias("whole")), F.struct(F.lit(None).cast("string").alias("mode"), F.lit(True).alias("whole")))).alias("k"), "latency").select("k.mode", "k.whole", "latency")
+    p = exact_percentiles(both, ["mode", "whole"], "latency", (0.5, 0.9, 0.95)).groupBy("mode", "whole").agg(*[F.max(F.when(F.col("p") == v, F.col("x"))).alias(c) for c, v in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))])
+    p = p.withColumnsRenamed({"mode": "_m", "whole": "_w"})
+    return figures.join(p, F.col("mode").eqNullSafe(F.col("_m")) & (F.col("whole") == F.col("_w")), "left").drop("_m", "_w")
+
+
+def frozen(spark: SparkSession, expected: DataFrame, inputs: DataFrame, path: str) -> DataFrame:
+    """The expected requests as first written to ``path``, with the fingerprints of their inputs (``path``, ``sha256``).
+
+    The first call writes both; a later one raises if an input's fingerprint has changed or is gone,
+    or if other requests are expected now.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/inputs/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        expected.select("key", "request").write.mode("overwrite").parquet(f"{path}/expected")
+        inputs.select("path", "sha256").write.mode("overwrite").parquet(f"{path}/inputs")
+    was, now = spark.read.parquet(f"{path}/inputs"), inputs.select("path", "sha256")
+    kept = spark.read.parquet(f"{path}/expected")
+    if not was.exceptAll(now).isEmpty() or not now.exceptAll(was).isEmpty():
+        raise ValueError("the inputs have changed since the experiment was frozen")
+    if not kept.exceptAll(expected.select("key", "request")).isEmpty() or not expected.select("key", "request").exceptAll(kept).isEmpty():
+        raise ValueError("other requests are expected than were frozen")
+    return kept
+
+
+_ROWS = "key string, request string, status_code int, response string, error string, latency_seconds double"
+
+
+def replay(spark: SparkSession, path: str, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(journal so far, requests without a success) of the journal at ``path``; one that breaks a rule of ``integrity_errors`` raises."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    rows = spark.read.schema(_ROWS).json(path) if there else spark.createDataFrame([], _ROWS)
+    bad = integrity_errors(expected, rows).limit(1).collect()
+    if bad:
+        raise ValueError(f"journal at {path}: {bad[0].problem} ({bad[0].key})")
+    return rows, expected.join(missing(expected, rows), "key", "left_semi")
+
+
+def collect_all(spark: SparkSession, path: str, expected: DataFrame, call: Callable[[str], tuple[int, str | None, str | None]], cost: Callable[[Column], Column], most: float, budget: float, batch: int = 1000, partitions: int = 8) -> dict:
+    """Collects what the journal at ``path`` does not hold yet, batch by batch, each appended before the next begins.
+
+    Stops before a batch whose calls, at ``most`` each, could overrun the budget together with what
+    is charged so far, and after a batch with an error; the next call goes on from there. Gives how
+    many requests are done and left, what is charged, and why it stopped.
+    """
+    while True:
+        rows, left = replay(spark, path, expected)
+        spent = float(rows.agg(F.sum(charge(cost(F.col("response")), most))).collect()[0][0] or 0.0)
+        n, done = left.count(), rows.filter("error is null").count()
+        if not n:
+            return {"done": done, "left": 0, "charged": spent, "stopped": ""}
+        take = min(batch, n)
+        if spent + take * most > budget:
+            return {"done": done, "left": n, "charged": spent, "stopped": "budget"}
+        before = rows.filter("error is not null").count()
+        collect(left.orderBy("key").limit(take), call, partitions).write.mode("append").json(path)
+        if spark.read.schema(_ROWS).json(path).filter("error is not null").count() > before:
+            rows, left = replay(spark, path, expected)
+            spent = float(rows.agg(F.sum(charge(cost(F.col("response")), most))).collect()[0][0] or 0.0)
+            return {"done": rows.filter("error is null").count(), "left": left.count(), "charged": spent, "stopped": "error"}
 
 
 def fingerprints(df: DataFrame) -> DataFrame:

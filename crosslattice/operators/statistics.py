@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosslattice.runtime import Scratch, tasks
+
 #: Constants of the linear congruential index of the bootstrap, fixed values.
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
 
 
-def paired(scores: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """``label``, ``pair``, ``a``, ``b``, ``diff`` for each comparison (label, first, second); ``scores`` has config, pair, f1."""
-    a = comparisons.join(scores.select(F.col("config").alias("first"), "pair", F.col("f1").alias("a")), "first")
-    both = a.join(scores.select(F.col("config").alias("second"), "pair", F.col("f1").alias("b")), ["second", "pair"])
+def paired(scores: DataFrame, comparisons: DataFrame, strict: bool = False) -> DataFrame:
+    """``label``, ``pair``, ``a``, ``b``, ``diff`` for each comparison (label, first, second); ``scores`` has config, pair, f1.
+
+    Pairs that only one side has are left out; with ``strict`` they raise an error when read.
+    """
+    a = comparisons.join(scores.select(F.col("config").alias("first"), "pair", F.col("f1").alias("a")), "first").select("label", "pair", "a")
+    b = comparisons.join(scores.select(F.col("config").alias("second"), "pair", F.col("f1").alias("b")), "second").select("label", "pair", "b")
+    both = a.join(b, ["label", "pair"], "full_outer" if strict else "inner")
+    if strict:
+        ok = F.col("a").isNotNull() & F.col("b").isNotNull()
+        both = both.filter(F.coalesce(F.assert_true(ok, F.concat(F.lit("one side has no "), F.col("pair"), F.lit(" in "), F.col("label"))).cast("boolean"), F.lit(True)))
     return both.select("label", "pair", "a", "b", (F.col("a") - F.col("b")).alias("diff"))
 
 
@@ -83,14 +94,48 @@ def bootstrap(diffs: DataFrame, rounds: int = 10_000, seed: int = 20260601) -> D
     """``label``, ``ci_low``, ``ci_high``: 2.5 and 97.5 percentiles of the mean of resampled differences.
 
     The index of each draw comes from arithmetic on round and place, so every engine draws alike.
-    A comparison has few pairs; ``rounds`` times as many draws are spread by label and round.
+    A comparison's pairs are few and travel as one array; its rounds are spread over the tasks, and
+    no draw is a row.
     """
-    place = F.row_number().over(Window.partitionBy("label").orderBy("pair")) - 1
-    d = diffs.withColumn("i", place).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
-    draws = d.select("label", "n", F.col("i").alias("j")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    x = (F.lit(seed).cast("bigint") + F.col("round") * 7919 + F.col("j") * 104729) % LCG_M
-    x = (x * LCG_A + LCG_C) % LCG_M
-    x = (x * LCG_A + LCG_C) % LCG_M
-    at = draws.withColumn("i", (F.shiftright(x, 8) % F.col("n")).cast("int"))
-    means = at.join(d.select("label", "i", "diff"), ["label", "i"]).groupBy("label", "round").agg(F.avg("diff").alias("m"))
+    each = diffs.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pair", "diff"))).alias("d")).withColumn("d", F.transform("d", lambda x: x["diff"]))
+    spread = each.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).repartition(tasks(diffs.sparkSession), "label", "round")
+
+    def drawn(j: Column) -> Column:
+        x = (F.lit(seed).cast("bigint") + F.col("round") * 7919 + j * 104729) % LCG_M
+        for _ in range(2):
+            x = (x * LCG_A + LCG_C) % LCG_M
+        return F.get("d", (F.shiftright(x, 8) % F.size("d")).cast("int"))
+
+    total = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, j: s + drawn(j.cast("bigint")))
+    means = spread.select("label", (total / F.size("d")).alias("m"))
     return means.groupBy("label").agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
+
+
+def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, ps: Sequence[float], bins: int = 4096) -> DataFrame:
+    """``by``, ``p``, ``x``: percentiles of ``value``, interpolated, exact at any size.
+
+    Counts in ``bins`` equal bins tell in which of them the wanted ranks lie; only the rows of those
+    are ordered, once for each distinct value. Null and NaN values don't count; a null in ``by`` is a
+    group like any other.
+    """
+    scratch = Scratch(df.sparkSession, "percentiles")
+    rows = df.select(*by, F.col(value).cast("double").alias("_x")).filter("_x is not null and not isnan(_x)")
+    ends, k = scratch.save(rows.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n")))
+
+    def joined(a: DataFrame, b: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+        b = b.select(*[F.col(c).alias(f"_b{c}") if c in keys else c for c in b.columns])
+        on = reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"_b{c}"]) for c in keys])
+        return a.join(F.broadcast(b) if small else b, on).drop(*[f"_b{c}" for c in keys])
+
+    few = k["rows"] <= 10_000  # measured: one row for each group
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    cut = joined(rows, ends, by, few).select(*by, "_x", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int").alias("_bin"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    counted = cut.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", upto)
+    h = (F.col("_n") - 1) * F.col("p")
+    wanted = ends.select(*by, "_n", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")).select(*by, "p", (h - F.floor(h)).alias("_part"), F.explode(F.array(F.floor(h), F.ceil(h))).alias("_rank"))
+    placed, _ = scratch.save(joined(wanted.distinct(), counted, by, False).filter((F.col("_rank") >= F.col("_upto") - F.col("_c")) & (F.col("_rank") < F.col("_upto"))).select(*by, "p", "_part", "_rank", "_bin", (F.col("_upto") - F.col("_c")).alias("_before")))
+    inside = joined(cut, placed.select(*by, "_bin").distinct(), [*by, "_bin"], few).groupBy(*by, "_bin", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    inside = inside.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    found = joined(placed, inside, [*by, "_bin"], False).filter((F.col("_rank") - F.col("_before") >= F.col("_end") - F.col("_c")) & (F.col("_rank") - F.col("_before") < F.col("_end")))
+    return found.groupBy(*by, "p").agg((F.min("_x") + F.first("_part") * (F.max("_x") - F.min("_x"))).alias("x"))

@@ -581,12 +581,15 @@ def configurations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_configs(spark, d))
 
 
-_DIFF = _CONF + ", w AS (SELECT approach || ' ' || variant AS config, pair, f1 FROM cf), cm AS (SELECT * FROM (VALUES ('a', 'embedding-a raw', 'llm-beta raw'), ('b', 'embedding-a ensemble', 'embedding-a raw'), ('c', 'llm-beta oracle', 'llm-beta raw')) v(label, first, second)), df AS (SELECT label, x.pair, x.f1 AS a, y.f1 AS b, x.f1 - y.f1 AS diff FROM cm JOIN w x ON x.config = cm.first JOIN w y ON y.config = cm.second AND y.pair = x.pair)"
+#: (label, first, second): each approach's variants against each other, and the approaches' raw scores.
+COMPARISONS = [(f"{a}: {x} - {y}", f"{a} {x}", f"{a} {y}") for a in ("embedding-a", "llm-alpha", "llm-beta") for x, y in (("ensemble", "raw"), ("oracle", "raw"), ("oracle", "ensemble"))] + [(f"{x} - {y}", f"{x} raw", f"{y} raw") for x, y in (("embedding-a", "llm-alpha"), ("embedding-a", "llm-beta"), ("llm-alpha", "llm-beta"))]
+_DIFF = _CONF + f", w AS (SELECT approach || ' ' || variant AS config, pair, f1 FROM cf), cm AS (SELECT * FROM (VALUES {', '.join(map(str, COMPARISONS))}) v(label, first, second)), df AS (SELECT label, x.pair, x.f1 AS a, y.f1 AS b, x.f1 - y.f1 AS diff FROM cm JOIN w x ON x.config = cm.first JOIN w y ON y.config = cm.second AND y.pair = x.pair)"
 
 
 def _diffs(spark: SparkSession, d: str) -> DataFrame:
-    c = spark.createDataFrame([("a", "embedding-a raw", "llm-beta raw"), ("b", "embedding-a ensemble", "embedding-a raw"), ("c", "llm-beta oracle", "llm-beta raw")], "label string, first string, second string")
-    return statistics.paired(_configs(spark, d).select(F.concat_ws(" ", "approach", "variant").alias("config"), "pair", "f1"), c)
+    c = spark.createDataFrame(COMPARISONS, "label string, first string, second string")
+    both = statistics.paired(_configs(spark, d).select(F.concat_ws(" ", "approach", "variant").alias("config"), "pair", "f1"), c)
+    return Scratch(spark, "diffs").save(both)[0]
 
 
 @query(_DIFF + " SELECT label, count(*) AS pairs, round(avg(a), 6) AS first_mean, round(avg(b), 6) AS second_mean, round(avg(diff), 6) AS mean_difference, count(*) FILTER (diff > 1e-9) AS wins, count(*) FILTER (abs(diff) <= 1e-9) AS ties, count(*) FILTER (diff < -1e-9) AS losses FROM df GROUP BY label")
@@ -612,17 +615,12 @@ def holm_bonferroni(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _DIFF
-    + """, i AS (SELECT label, diff, row_number() OVER (PARTITION BY label ORDER BY pair) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM df), dr AS (SELECT label, n, i AS j, unnest(range(200)) AS round FROM i),
+    + """, i AS (SELECT label, diff, row_number() OVER (PARTITION BY label ORDER BY pair) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM df), dr AS (SELECT label, n, i AS j, unnest(range(10000)) AS round FROM i),
 x0 AS (SELECT *, (20260601 + round * 7919 + j * 104729) % 2147483648 AS x FROM dr), x1 AS (SELECT *, (x * 1103515245 + 12345) % 2147483648 AS y FROM x0), x2 AS (SELECT *, (y * 1103515245 + 12345) % 2147483648 AS z FROM x1),
 mn AS (SELECT x2.label, x2.round, avg(i.diff) AS mean FROM x2 JOIN i ON i.label = x2.label AND i.i = (z >> 8) % x2.n GROUP BY ALL)
 SELECT label, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM mn GROUP BY label"""
 )
 def bootstrap_lcg_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(statistics.bootstrap(_diffs(spark, d), 200))
-
-
-@query()
-def bootstrap_lcg_ci_whole(spark: SparkSession, d: str) -> DataFrame:
     return rounded(statistics.bootstrap(_diffs(spark, d)))
 
 
@@ -641,12 +639,12 @@ SELECT mode, count(*) AS attempts, count(*) FILTER (NOT failed) AS successes, ro
 )
 def request_accounting(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("cost", F.expr("try_cast(get_json_object(props, '$.k') AS double)"))
-    return rounded(journal.accounting(e, "event_type", "value", "cost", F.col("event_type") == "error"))
+    return rounded(journal.accounting(e, "event_type", "value", "cost", F.col("event_type") == "error").drop("whole"))
 
 
-@query("WITH r AS (SELECT user_id, event_id, sum(COALESCE(value, 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events) SELECT user_id, event_id, round(spent, 6) AS spent FROM r WHERE spent <= 500")
+@query("WITH r AS (SELECT user_id, event_id, sum(CASE WHEN value >= 0 AND NOT isnan(value) THEN value ELSE 100 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events) SELECT user_id, event_id, round(spent, 6) AS spent FROM r WHERE spent <= 500")
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(journal.within_budget(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 500.0).select("user_id", "event_id", "spent"))
+    return rounded(journal.within_budget(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 500.0, 100.0).select("user_id", "event_id", "spent"))
 
 
 def _keyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -669,8 +667,9 @@ def journal_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def journal_windows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz"))
-    return rounded(e.groupBy(F.col("hour").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean")))
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = stream.windowed_accounting(e, "ts", "1 hour", "1 hour", "event_type", "value")
+    return rounded(w.withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
 @query("SELECT DISTINCT event_id FROM events")
