@@ -83,6 +83,80 @@ def train_linear(pairs: DataFrame, dim_out: int = 32, epochs: int = 60, negative
     return w
 
 
+def train_network(pairs: DataFrame, dim_hidden: int = 32, dim_out: int = 16, epochs: int = 60, negatives: int = 3, rate: float = 0.01, seed: int = 42) -> tuple[Layer, np.ndarray]:
+    """One layer and the output step, trained: cosine to 1 on pairs, to 0 on drawn negatives, squared error, Adam.
+
+    ``pairs`` has ``a`` and ``b``, each a struct of vector and around (a node with its neighbours'
+    sum). The pairs are a bounded sample (``MAX_PAIRS``); no pairs give the starting weights.
+    """
+    rows = pairs.select(F.col("a.vector").alias("av"), F.col("a.around").alias("an"), F.col("b.vector").alias("bv"), F.col("b.around").alias("bn")).orderBy(F.xxhash64("av", "bv")).limit(MAX_PAIRS).toPandas()
+    rng = np.random.default_rng(seed)
+    if not len(rows):
+        return Layer(32, dim_hidden, rng), rng.standard_normal((dim_hidden, dim_out))
+    av, an, bv, bn = (np.stack(rows[c].to_numpy()).astype(float) for c in ("av", "an", "bv", "bn"))
+    layer = Layer(av.shape[1], dim_hidden, rng)
+    weights = [layer.own, layer.near, layer.mix, rng.standard_normal((dim_hidden, dim_out)) / np.sqrt(dim_hidden)]
+    skip = av.shape[1] == dim_hidden
+    m, v = ([np.zeros_like(w) for w in weights] for _ in range(2))
+
+    def up(x: np.ndarray, around: np.ndarray) -> tuple:
+        h = np.concatenate([np.maximum(x @ weights[0], 0), np.maximum(around @ weights[1], 0)], 1)
+        y = np.maximum(h @ weights[2], 0)
+        z = (y + x if skip else y) @ weights[3]
+        return x, around, h, y, z, np.linalg.norm(z, axis=1, keepdims=True) + 1e-9
+
+    def down(state: tuple, dz: np.ndarray, out: list[np.ndarray]) -> None:
+        x, around, h, y, _, _ = state
+        out[3] += (y + x if skip else y).T @ dz
+        dy = (dz @ weights[3].T) * (y > 0)
+        out[2] += h.T @ dy
+        dh = (dy @ weights[2].T) * (h > 0)
+        k = weights[0].shape[1]
+        out[0] += x.T @ dh[:, :k]
+        out[1] += around.T @ dh[:, k:]
+
+    for t in range(1, epochs + 1):
+        grad = [np.zeros_like(w) for w in weights]
+        first, total = up(av, an), len(av) * (1 + negatives)
+        for k in range(1 + negatives):
+            at = np.arange(len(bv)) if not k else rng.integers(len(bv), size=len(bv))
+            second = up(bv[at], bn[at])
+            p, q = first[4] / first[5], second[4] / second[5]
+            c = (p * q).sum(1, keepdims=True)
+            g = 2 * (c - (0 if k else 1)) / total
+            down(first, g * (q - c * p) / first[5], grad)
+            down(second, g * (p - c * q) / second[5], grad)
+        for i, w in enumerate(weights):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * grad[i], 0.999 * v[i] + 0.001 * grad[i] ** 2
+            w -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+    layer.own, layer.near, layer.mix = weights[:3]
+    return layer, weights[3]
+
+
+def applied(prepared: DataFrame, network: tuple[Layer, np.ndarray]) -> DataFrame:
+    """``tax``, ``node_id``, ``vector``: unit outputs of a trained network for nodes with their neighbours' sums."""
+    layer, output = network
+
+    def run(x: np.ndarray, around: np.ndarray) -> np.ndarray:
+        y = layer(x, around) @ output
+        return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+
+    return _vectors(prepared.select("tax", "node_id", "vector", "around"), run)
+
+
+def save_network(path: str, network: tuple[Layer, np.ndarray]) -> None:
+    """A trained network as one file of arrays."""
+    layer, output = network
+    np.savez(path, own=layer.own, near=layer.near, mix=layer.mix, output=output)
+
+
+def load_network(path: str) -> tuple[Layer, np.ndarray]:
+    with np.load(path) as f:
+        layer = Layer(f["own"].shape[0], f["own"].shape[1], np.random.default_rng(0))
+        layer.own, layer.near, layer.mix = f["own"], f["near"], f["mix"]
+        return layer, f["output"]
+
+
 def folds(pairs: DataFrame, by: str = "pair") -> DataFrame:
     """``fold``, ``pair``, ``role``: each pair held out once, or each taxonomy with all pairs it is in.
 

@@ -78,6 +78,21 @@ def attributes(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> tuple[Data
     return n.withColumn("_first", first).withColumn("attributes", F.when(empty, added).otherwise(renamed)).drop("_first"), e
 
 
+def scenarios(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed: int = 42) -> dict[str, tuple[DataFrame, DataFrame, DataFrame]]:
+    """(nodes, edges, true mapping) of all four variants from one seed: V1 exact, SYN, STR, ATTR."""
+    made = {"V1": exact(nodes, edges, seed), "SYN": synonym(nodes, edges, seed), "STR": structural(spark, nodes, edges, seed), "ATTR": attributes(nodes, edges, seed)}
+    return {k: (n, e, gold(n)) for k, (n, e) in made.items()}
+
+
+def checked(nodes: DataFrame, made: dict[str, tuple[DataFrame, DataFrame, DataFrame]]) -> DataFrame:
+    """One row for each scenario: what differs from the base, how many pairs its true mapping has, and whether its ids are unique."""
+    out = None
+    for k, (n, _, g) in made.items():
+        d = content_differences(nodes, n).crossJoin(g.agg(F.count(F.lit(1)).alias("gold"))).crossJoin(n.agg((F.countDistinct("tax", "node_id") == F.count(F.lit(1))).alias("unique_ids"))).withColumn("scenario", F.lit(k))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def content_differences(base: DataFrame, variant: DataFrame) -> DataFrame:
     """One row: of how many nodes name, comment, depth, or attributes differ between a taxonomy and its clone; how many are missing."""
     b = base.select(F.col("node_id").alias("base_id"), F.col("name").alias("n1"), F.col("comment").alias("c1"), F.col("depth").alias("d1"), F.array_sort(F.map_entries("attributes")).alias("a1"))

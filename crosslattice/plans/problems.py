@@ -66,6 +66,23 @@ FROM n JOIN stored s ON s.tax = n.tax AND s.node_id = n.node_id
 LEFT JOIN loops l ON l.tax = n.tax AND l.node_id = n.node_id LEFT JOIN under u ON u.tax = n.tax AND u.node_id = n.node_id
 LEFT JOIN deep d ON d.tax = n.tax AND d.node_id = n.node_id
 WHERE l.node_id IS NOT NULL OR u.node_id IS NOT NULL OR s.depth <> d.k
+""",
+    "p2_hierarchy": _REACH
+    + """,
+loops AS (SELECT DISTINCT tax, node_id FROM up WHERE node_id = anc),
+under AS (SELECT DISTINCT up.tax, up.node_id FROM up JOIN loops l ON l.tax = up.tax AND l.node_id = up.anc),
+walk AS (
+  SELECT n.tax, n.node_id, CAST(0 AS BIGINT) AS k FROM n ANTI JOIN e ON e.tax = n.tax AND e.child_id = n.node_id
+  UNION SELECT e.tax, e.child_id, walk.k + 1 FROM walk JOIN e ON e.tax = walk.tax AND e.parent_id = walk.node_id
+    ANTI JOIN (SELECT * FROM under UNION SELECT * FROM loops) u ON u.tax = e.tax AND u.node_id = e.child_id),
+deep AS (SELECT tax, node_id, max(k) AS depth FROM walk GROUP BY ALL),
+pick AS (SELECT e.tax, e.child_id AS node_id, min(e.parent_id) AS p FROM e JOIN deep a ON a.tax = e.tax AND a.node_id = e.child_id JOIN deep b ON b.tax = e.tax AND b.node_id = e.parent_id AND b.depth = a.depth - 1 GROUP BY ALL),
+chain AS (SELECT tax, node_id, node_id AS at, node_id AS path FROM deep UNION ALL SELECT c.tax, c.node_id, p.p, p.p || ' > ' || c.path FROM chain c JOIN pick p ON p.tax = c.tax AND p.node_id = c.at),
+whole AS (SELECT c.* FROM chain c ANTI JOIN pick p ON p.tax = c.tax AND p.node_id = c.at),
+many AS (SELECT tax, anc AS node_id, count(*) AS k FROM up GROUP BY ALL)
+SELECT n.tax, n.node_id, CASE WHEN l.node_id IS NOT NULL THEN 'cycle' WHEN u.node_id IS NOT NULL THEN 'below_cycle' END AS state, d.depth, w.at AS root_id, w.path, COALESCE(m.k, 0) AS descendants
+FROM n LEFT JOIN loops l ON l.tax = n.tax AND l.node_id = n.node_id LEFT JOIN under u ON u.tax = n.tax AND u.node_id = n.node_id
+LEFT JOIN deep d ON d.tax = n.tax AND d.node_id = n.node_id LEFT JOIN whole w ON w.tax = n.tax AND w.node_id = n.node_id LEFT JOIN many m ON m.tax = n.tax AND m.node_id = n.node_id
 """,
     "p2_descendants": _REACH + "SELECT tax, anc AS node_id, node_id AS descendant_id FROM up",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -70,8 +70,13 @@ def _triples(content: bytes) -> list[tuple[str, str, str, int]]:
     return out
 
 
-def owl_triples(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``s``, ``p``, ``o``, ``ord`` of every file; a file that is no XML gives none."""
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``content`` of every file."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def owl_triples(found: DataFrame) -> DataFrame:
+    """``path``, ``s``, ``p``, ``o``, ``ord`` of every file (``path``, ``content``); one that is no XML gives none."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -83,7 +88,7 @@ def owl_triples(spark: SparkSession, path: str) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["path", "s", "p", "o", "ord"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _TRIPLE)
+    return found.select("path", "content").mapInPandas(run, _TRIPLE)
 
 
 def local_name(iri):
@@ -91,13 +96,13 @@ def local_name(iri):
     return F.regexp_extract(iri, r"([^#/]*)$", 1)
 
 
-def read_owl(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``nodes``, ``edges``, ``disjoint`` of OWL files; the file's name is the taxonomy and the prefix of its ids.
+def read_owl(spark: SparkSession, path: str | DataFrame) -> dict[str, DataFrame]:
+    """``nodes``, ``edges``, ``disjoint`` of OWL files (a path, or a table of path and content); the file's name is the taxonomy and the prefix of its ids.
 
     Names are first labels, else local names with blanks for underscores. Parents are named classes
     declared in the same file. Of repeated attributes the last counts, of repeated links the first.
     """
-    t = owl_triples(spark, path).filter(F.col("s") != THING).withColumn("tax", F.regexp_extract("path", r"([^/]*?)(?:\.[A-Za-z0-9]+)?$", 1))
+    t = owl_triples(files(spark, path) if isinstance(path, str) else path).filter(F.col("s") != THING).withColumn("tax", F.regexp_extract("path", r"([^/]*?)(?:\.[A-Za-z0-9]+)?$", 1))
     id = lambda c: F.concat("tax", F.lit("#"), local_name(F.col(c)))
     known = t.filter("p = 'type'").groupBy("tax", "s").agg(F.min("ord").alias("ord"))
     pick = lambda p: t.filter(F.col("p") == p).groupBy("tax", "s").agg(F.min_by("o", "ord").alias(p))
@@ -115,7 +120,7 @@ def read_owl(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"nodes": nodes, "edges": links("parent", "child_id", "parent_id"), "disjoint": links("disjoint", "node_id", "other_id").filter("node_id <> other_id")}
 
 
-def read_alignment(spark: SparkSession, path: str) -> DataFrame:
+def read_alignment(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """``path``, ``entity1``, ``entity2``, ``measure``, ``relation``: cells of alignment files, the last of each first entity."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +136,8 @@ def read_alignment(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((p, x.get("entity1"), x.get("entity2"), x.get("measure"), x.get("relation"), i))
             yield pd.DataFrame(rows, columns=["path", "entity1", "entity2", "measure", "relation", "ord"])
 
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, entity1 string, entity2 string, measure string, relation string, ord int")
+    found = files(spark, path) if isinstance(path, str) else path
+    cells = found.select("path", "content").mapInPandas(run, "path string, entity1 string, entity2 string, measure string, relation string, ord int")
     last = cells.filter("entity1 <> '' and entity2 <> ''").groupBy("path", "entity1").agg(F.max_by(F.struct("entity2", "measure", "relation"), "ord").alias("x"))
     return last.select("path", "entity1", "x.entity2", F.expr("try_cast(x.measure AS double)").alias("measure"), "x.relation")
 
@@ -143,3 +149,23 @@ def build_alignment(cells: DataFrame, nodes: DataFrame, source: str, target: str
     t = own.filter(F.col("tax") == target).groupBy("local").agg(F.min_by("node_id", "ord").alias("target_id"))
     j = cells.join(s, local_name(F.col("entity1")) == s["local"]).drop("local").join(t, local_name(F.col("entity2")) == t["local"])
     return j.select(F.lit("↔".join(sorted((source, target)))).alias("pair"), "source_id", "target_id", F.lit(1.0).alias("confidence"))
+
+
+def read_track(spark: SparkSession, folder: str, names: Sequence[str]) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(taxonomies, reference, missing) of a track: ``<name>.owl`` for each name, ``<a>-<b>.rdf`` for each two.
+
+    ``reference`` has pair, source, target, source_id, target_id, confidence for cells whose both
+    ends are classes; ``missing`` names the files that are not there. A pair may be stored either way round.
+    """
+    there = {r[0].rsplit("/", 1)[-1] for r in spark.read.format("binaryFile").load(folder).select("path").collect()}  # a short list of files
+    found = read_owl(spark, files(spark, f"{folder}/*.owl").filter(F.regexp_extract("path", r"([^/]*)\.owl$", 1).isin(list(names))))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    stored = [(a, b) if f"{a}-{b}.rdf" in there else (b, a) for a, b in pairs if f"{a}-{b}.rdf" in there or f"{b}-{a}.rdf" in there]
+    gone = [f"{a}.owl" for a in names if f"{a}.owl" not in there] + [f"{a}-{b}.rdf" for a, b in pairs if f"{a}-{b}.rdf" not in there and f"{b}-{a}.rdf" not in there]
+    reference = None
+    for a, b in stored:
+        one = build_alignment(read_alignment(spark, f"{folder}/{a}-{b}.rdf"), found["nodes"], a, b).select("pair", F.lit(a).alias("source"), F.lit(b).alias("target"), "source_id", "target_id", "confidence")
+        reference = one if reference is None else reference.unionByName(one)
+    if reference is None:
+        reference = spark.createDataFrame([], "pair string, source string, target string, source_id string, target_id string, confidence double")
+    return found, reference, spark.createDataFrame([(x,) for x in gone], "file string")

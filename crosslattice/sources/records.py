@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslattice.functions.text import pair_key
 from crosslattice.schema import JOURNAL, RECORDS
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Result records from JSON files; the folder is the approach, whatever the record says of itself."""
-    r = spark.read.schema(RECORDS).json(path, multiLine=True, recursiveFileLookup=True)
-    return r.withColumn("approach", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
+def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``file``, ``o``: every object of JSON files below ``path``: one to a file, however it is laid out, or one a line."""
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split("value", r"\n(?=\{)")).alias("text"))
+    return whole.filter(F.col("text").rlike(r"\S")).select("file", F.from_json("text", schema).alias("o"))
+
+
+def read_records(spark: SparkSession, path: str, pair: str | None = None) -> DataFrame:
+    """Result records from JSON files; the folder is the approach, whatever the record says of itself. With ``pair`` that pair's records only."""
+    r = json_objects(spark, path, RECORDS).select("o.*", "file").withColumn("approach", F.regexp_replace(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1), "^approach=", "")).drop("file")
+    return r if pair is None else r.filter(F.col("pair") == pair)
+
+
+def write_records_json(records: DataFrame, path: str) -> None:
+    """JSON by approach, as ``read_records`` reads it; approaches that are written again are replaced, others stay."""
+    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("approach").json(path)
 
 
 def write_records(records: DataFrame, path: str) -> None:
@@ -24,15 +35,30 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOURNAL).json(path)
 
 
-def write_taxonomies(nodes: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").partitionBy("tax").parquet(path)
+_TAXONOMY_NODE = "struct<id:string,name:string,parents:array<string>,children:array<string>,attributes:map<string,string>,disjoint_with:array<string>,comment:string,depth:int>"
+
+
+def write_taxonomies(nodes: DataFrame, edges: DataFrame, disjoint: DataFrame, path: str) -> None:
+    """Taxonomies in JSON, one object a line: name, and nodes by id with parents, children and disjoint nodes in order."""
+
+    def listed(df: DataFrame, of: str, what: str, out: str) -> DataFrame:
+        return df.groupBy("tax", F.col(of).alias("node_id")).agg(F.transform(F.array_sort(F.collect_set(F.struct("ord", what))), lambda x: x[what]).alias(out))
+
+    none = F.array().cast("array<string>")
+    n = nodes.join(listed(edges, "child_id", "parent_id", "parents"), ["tax", "node_id"], "left").join(listed(edges, "parent_id", "child_id", "children"), ["tax", "node_id"], "left").join(listed(disjoint, "node_id", "other_id", "disjoint_with"), ["tax", "node_id"], "left")
+    one = F.struct(F.col("node_id").alias("id"), "name", *[F.coalesce(c, none).alias(c) for c in ("parents", "children")], "attributes", F.coalesce("disjoint_with", none).alias("disjoint_with"), "comment", F.col("depth").cast("int").alias("depth"))
+
+    def in_order(x: Column, y: Column) -> Column:
+        a, b = (F.struct(z["ord"].alias("ord"), z["node_id"].alias("node_id")) for z in (x, y))
+        return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+    n.groupBy("tax").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", one.alias("n"))), in_order), lambda x: F.struct(x["node_id"].alias("key"), x["n"].alias("value")))).alias("nodes")).select(F.col("tax").alias("name"), "nodes").write.mode("overwrite").json(path)
 
 
 def read_taxonomies(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """``nodes`` and ``edges`` from taxonomy JSON files: an object with name and nodes, a map from ids to nodes."""
-    node = "struct<id:string,name:string,parents:array<string>,children:array<string>,attributes:map<string,string>,disjoint_with:array<string>,comment:string,depth:int>"
-    raw = spark.read.schema(f"name string, namespace string, root_id string, nodes map<string,{node}>").json(path, multiLine=True)
-    each = raw.select(F.col("name").alias("tax"), F.posexplode("nodes").alias("ord", "node_id", "n"))
+    raw = json_objects(spark, path, f"name string, namespace string, root_id string, nodes map<string,{_TAXONOMY_NODE}>")
+    each = raw.select("o.*").select(F.col("name").alias("tax"), F.posexplode("nodes").alias("ord", "node_id", "n"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     nodes = each.select("tax", "node_id", "n.name", F.coalesce("n.comment", F.lit("")).alias("comment"), F.coalesce("n.depth", F.lit(0)).alias("depth"), F.coalesce("n.attributes", empty).alias("attributes"), "ord")
     return {"nodes": nodes, "edges": each.select("tax", F.col("node_id").alias("child_id"), F.posexplode("n.parents").alias("ord", "parent_id")), "disjoint": each.select("tax", "node_id", F.posexplode("n.disjoint_with").alias("ord", "other_id"))}
@@ -86,7 +112,9 @@ def assert_oriented(records: DataFrame, canonical: DataFrame) -> DataFrame:
 
 def disk_scan(spark: SparkSession, path: str, field: str) -> DataFrame:
     """``files``, ``newest``, ``oldest`` and up to six values of a field, by folder."""
-    r = spark.read.schema(RECORDS).json(path, multiLine=True, recursiveFileLookup=True).select(field, "_metadata.file_modification_time", "_metadata.file_path")
+    r = json_objects(spark, path, RECORDS).select(F.col(f"o.{field}").alias(field), F.col("file").alias("file_path"))
+    times = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file_path"), F.col("modificationTime").alias("file_modification_time"))
+    r = r.join(times.withColumn("k", F.regexp_replace("file_path", "^[a-z]+:/*", "/")).drop("file_path"), F.regexp_replace("file_path", "^[a-z]+:/*", "/") == F.col("k"))
     folder = F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)
     six = F.slice(F.array_sort(F.collect_set(F.col(field).cast("string"))), 1, 6)
     return r.groupBy(folder.alias("folder")).agg(F.countDistinct("file_path").alias("files"), F.max("file_modification_time").alias("newest"), F.min("file_modification_time").alias("oldest"), six.alias("values"))
