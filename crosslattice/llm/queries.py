@@ -14,6 +14,7 @@ from crosslattice.llm.quality import quality_statistics
 from crosslattice.llm.splits import grouped_split, record_groups
 from crosslattice.llm.topn import top_n_per_group
 from crosslattice.operators.identifiers import resolve_nodes, resolve_taxonomy
+from crosslattice.plans import catalogue as base
 from crosslattice.sources.tables import table
 
 
@@ -98,7 +99,21 @@ WITH usable AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY pair, source_id ORDER BY best DESC, candidate_id) AS rank FROM usable)
 """
 
+_REACHED = """, b AS (SELECT x, y FROM link UNION SELECT y, x FROM link), reach AS (SELECT x AS a, x AS z FROM vertex UNION SELECT reach.a, b.y FROM reach JOIN b ON b.x = reach.z)"""
+#: Vertices are alignments and taxonomies, told apart by a letter.
+_GROUPS = (
+    base._AL.replace("WITH k AS", "WITH RECURSIVE k AS")
+    + """, side AS (SELECT align_id, source AS raw FROM alignments UNION ALL SELECT align_id, target FROM alignments),
+sk AS (SELECT align_id, regexp_replace(lower(regexp_replace(raw, '^[\\s<]+|[\\s>]+$', '', 'g')), '[#/]+$', '') AS s FROM side WHERE regexp_matches(raw, '\\S')),
+sf AS (SELECT align_id, CASE WHEN s LIKE '%://%' THEN s ELSE regexp_replace(regexp_extract(s, '([^/]*)$', 1), '\\.(owl|rdf|ttl|xml)$', '') END AS s FROM sk),
+link AS (SELECT 'a' || align_id AS x, 't' || COALESCE(nm.canon, s) AS y FROM sf LEFT JOIN nm ON nm.key = s), vertex AS (SELECT DISTINCT 'a' || align_id AS x FROM alignments WHERE align_id IS NOT NULL)"""
+    + _REACHED
+    + " SELECT substr(a, 2)::BIGINT AS align_id, min(substr(z, 2)::BIGINT) AS group_id FROM reach WHERE z[1] = 'a' GROUP BY a"
+)
+_NODE_GROUPS = base._M + "link AS (SELECT source_id AS x, target_id AS y FROM m), vertex AS (SELECT DISTINCT z AS x FROM canon)" + _REACHED + " SELECT a AS node_id, min(z) AS group_id FROM reach GROUP BY a"
+
 SQL: dict[str, str] = {
+    "p3_found": _GROUPS, "p5_found": _NODE_GROUPS,
     "p1_found": _TOP + "SELECT pair, source_id, candidate_id FROM ranked WHERE rank <= 5",
     "p1_ranked": _TOP + "SELECT pair, source_id, candidate_id, best, rank FROM ranked WHERE rank <= 5",
 }
