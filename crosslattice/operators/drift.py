@@ -49,6 +49,7 @@ def profiles(records: DataFrame, stream: str, batch: str, payload: str) -> DataF
     of = [*keys, "field", "type"]
     base = records.select(F.col(f"`{stream}`").alias("stream"), F.col(f"`{batch}`").alias("batch"), F.col(f"`{payload}`").alias("payload"))
     values = json_values(base, keys, "payload").groupBy(*of, "members", "value").agg(F.count(F.lit(1)).alias("n"))
+    values, _ = Scratch(records.sparkSession, "values").save(values)
     # numbers stand for themselves where the value is one; inside texts only words do
     words = F.filter(F.split(F.lower("value"), r"[^\p{L}\p{N}._-]+"), lambda x: (x != "") & ((F.col("type") == "number") | x.rlike(r"\p{L}")))
     values = values.withColumn("x", F.expr("try_cast(value AS double)")).withColumn("tokens", F.transform(words, lambda x: F.xxhash64(x)))
@@ -249,13 +250,12 @@ def schema_changes(records: DataFrame, stream: str, batch: str, payload: str) ->
     known, _ = Scratch(records.sparkSession, "drift").save(profiles(records, stream, batch, payload))
     named = known.select("stream", "batch", F.coalesce(F.transform("fields", lambda f: f["field"]), F.array().cast("array<string>")).alias("names"))
     former = named.select("stream", F.col("batch").alias("former"), F.col("names").alias("names_before"))
-    steps = _followed(named).join(named, ["stream", "batch"]).join(former, ["stream", "former"])
+    steps, _ = Scratch(records.sparkSession, "steps").save(_followed(named).join(named, ["stream", "batch"]).join(former, ["stream", "former"]))
     gone, come = F.array_except("names_before", "names"), F.array_except("names", "names_before")
     each = steps.select("stream", "batch", F.explode(gone).alias("x"), come.alias("come")).select("stream", "batch", "x", F.explode("come").alias("y"))
-    ordered = each.select("stream", "batch", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    ordered, _ = Scratch(records.sparkSession, "pairs").save(each.select("stream", "batch", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
     apart = ordered.join(_apart(named, ordered.select("x", "y").distinct()), ["x", "y"]).groupBy("stream", "batch").agg(F.collect_list(F.struct("x", "y")).alias("apart"))
-    moved = steps.filter((F.size(gone) > 0) | (F.size(come) > 0) | (F.size("names") > 0)).select("stream", "batch", "former")
-    pairs = moved.join(known, ["stream", "batch"]).join(known.select("stream", F.col("batch").alias("former"), F.col("fields").alias("before")), ["stream", "former"]).join(apart, ["stream", "batch"], "left").select("stream", "batch", "before", "fields", "apart")
+    pairs = steps.select("stream", "batch", "former").join(known, ["stream", "batch"]).join(known.select("stream", F.col("batch").alias("former"), F.col("fields").alias("before")), ["stream", "former"]).join(apart, ["stream", "batch"], "left").select("stream", "batch", "before", "fields", "apart")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
