@@ -61,7 +61,8 @@ def profiles(records: DataFrame, stream: str, batch: str, payload: str) -> DataF
     shape = F.struct(F.lit(True).alias("shape"), F.xxhash64(_shape(F.coalesce("members", "value"))).alias("h"))
     marks = values.select(*of, "n", F.explode(F.concat(F.array(shape), F.transform("tokens", lambda h: F.struct(F.lit(False).alias("shape"), h.alias("h"))))).alias("m"))
     counted = marks.groupBy(*of, "m.shape", "m.h").agg(F.sum("n").alias("n"))
-    totals = counted.filter("not shape").groupBy(*of).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("word_count"), F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("pairs"))
+    word = F.when(~F.col("shape"), F.col("n"))  # no filter: it would make another plan of what is counted, and count it twice
+    totals = counted.groupBy(*of).agg(F.count(word).alias("distinct"), F.sum(word).alias("word_count"), F.sum(word.cast("double") * (word - 1)).alias("pairs"))
     least = counted.withColumn("_r", F.row_number().over(Window.partitionBy(*of, "shape").orderBy("h"))).filter(F.col("_r") <= SKETCH)
     pick = F.struct("h", "n")
     sketches = least.groupBy(*of).agg(F.sort_array(F.collect_list(F.when(F.col("shape"), pick))).alias("shapes"), F.sort_array(F.collect_list(F.when(~F.col("shape"), pick))).alias("words"))
