@@ -6,11 +6,11 @@ from collections import Counter
 
 import pytest
 
-from crosslattice.plans import catalogue, problems
+from crosslattice.plans import catalogue, problems, studies
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
-QUERIES, SQL = {**catalogue.QUERIES, **problems.QUERIES}, {**catalogue.SQL, **problems.SQL}
+QUERIES, SQL = ({k: v for m in (catalogue, problems, studies) for k, v in x(m).items()} for x in (lambda m: m.QUERIES, lambda m: m.SQL))
 
 
 @pytest.fixture(scope="module")
