@@ -372,19 +372,20 @@ def raw_feature_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def network_matches(spark: SparkSession, d: str) -> DataFrame:
-    """The graph network trained on each taxonomy's exact variant, then matching its variant with other words: cosine, one to one, 0.5 and up."""
+    """The graph network trained on all nodes and their variants with other words, then matching these: cosine, one to one, 0.5 and up.
+
+    A variant has the links of its taxonomy, so both sides' neighbours are summed at once.
+    """
     s = Scratch(spark, "network")
-    n, _ = s.save(_latest(spark, d))
-    e = table(spark, d, "edges")
-    both = {}
-    for k, (vn, ve) in {"base": (n.withColumn("base_id", F.col("node_id")), e), "SYN": synth.synonym(n, e)}.items():
-        x = retrieval.encode(vn.select("tax", "node_id", "name"), "name", lambda t: retrieval.hashed_vector(t, 32)).select("tax", "node_id", "vector")
-        both[k] = s.save(neural.neighbour_vectors(graph.adjacency(vn, ve), x))[0]
-    end = lambda df, c, i: df.select(F.col("node_id").alias(i), F.struct("vector", "around").alias(c))
-    pairs = end(both["base"], "a", "id").join(end(both["SYN"].withColumn("node_id", F.regexp_replace("node_id", "_SYN$", "")), "b", "id"), "id")
-    net = neural.train_network(pairs, epochs=20)
-    out = {k: neural.applied(v, net) for k, v in both.items()}
-    pair = F.regexp_replace("tax", "_SYN_s42$", "")
-    q = out["base"].select(pair.alias("pair"), F.col("node_id").alias("source_id"), "vector")
-    near = retrieval.similarity_top_k(q, out["SYN"].select(pair.alias("pair"), F.col("node_id").alias("target_id"), "vector"), 10)
+    n, _ = s.save(_latest(spark, d).select("tax", "node_id", "name"))
+    hashed = lambda t: retrieval.hashed_vector(t, 32)
+    words = synth.synonym(n.withColumn("other", F.col("name")), table(spark, d, "edges"))[0].select(F.regexp_replace("tax", "_SYN_s42$", "").alias("tax"), F.col("base_id").alias("node_id"), F.col("other"), "name")
+    x = retrieval.encode(retrieval.encode(words, "other", hashed, "v"), "name", hashed, "w").select("tax", "node_id", F.concat("v", "w").alias("vector"))
+    x = neural.neighbour_vectors(graph.adjacency(n, table(spark, d, "edges")), x)
+    side = lambda i: F.struct(*[F.slice(c, i, 32).alias(c) for c in ("vector", "around")])
+    both, _ = s.save(x.select("tax", "node_id", side(1).alias("a"), side(33).alias("b")))
+    net = neural.train_network(both.withColumn("key", F.struct("tax", "node_id")), epochs=20)
+    out = {c: neural.applied(both.select("tax", "node_id", f"{c}.vector", f"{c}.around"), net).withColumnRenamed("tax", "pair") for c in "ab"}
+    q = out["a"].select("pair", F.col("node_id").alias("source_id"), "vector")
+    near = retrieval.similarity_within(q, out["b"].select("pair", F.concat("node_id", F.lit("_SYN")).alias("target_id"), "vector"), 10)
     return rounded(assign.greedy_injective(spark, near, 0.5))

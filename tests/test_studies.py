@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -167,3 +168,38 @@ def test_orphans_and_reachable(spark):
     n = spark.createDataFrame([("t", x) for x in "abxyq"], "tax string, node_id string")
     e = spark.createDataFrame([("t", "b", "a"), ("t", "x", "y"), ("t", "y", "x"), ("t", "q", "gone")], "tax string, child_id string, parent_id string")
     assert [r.node_id for r in graph.orphans(spark, n, e).orderBy("node_id").collect()] == ["q", "x", "y"]
+
+
+def test_network_trains_on_all_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neural, "MAX_PAIRS", 5)
+    r = np.random.default_rng(4)
+    x = r.standard_normal((40, 6))
+    one = lambda v: {"vector": v.tolist(), "around": v[::-1].tolist()}
+    kind = "struct<vector:array<double>,around:array<double>>"
+    df = lambda at: spark.createDataFrame([(one(x[i]), one(x[i] + 0.1)) for i in at], f"a {kind}, b {kind}")
+    whole = neural.train_network(df(range(40)), 4, 3, epochs=3)
+    again = neural.train_network(df(reversed(range(40))).repartition(7), 4, 3, epochs=3)
+    assert np.array_equal(whole[1], again[1])
+    for i in (0, 17, 39):  # every pair counts
+        assert not np.array_equal(whole[1], neural.train_network(df([j for j in range(40) if j != i]), 4, 3, epochs=3)[1])
+    b = [pa.RecordBatch.from_arrays([pa.array([0] * 3 + [1] * 9), *[pa.array(r.standard_normal((12, 2)).tolist())] * 4], names=["part", "av", "an", "bv", "bn"])]
+    monkeypatch.setattr(neural, "BLOCK", 4)
+    assert [(int(p), k, len(m[0])) for p, k, m in neural._blocks(b)] == [(0, 0, 3), (1, 0, 4), (1, 1, 4), (1, 2, 1)]
+
+
+def test_neighbour_vectors_sum_places(spark):
+    adj = spark.createDataFrame([("t", "x", "x", 0.5), ("t", "x", "y", 2.0), ("t", "y", "y", 1.0)], "tax string, i string, j string, w double")
+    f = spark.createDataFrame([("t", "x", [1.0, 2.0]), ("t", "y", [3.0, -1.0])], "tax string, node_id string, vector array<double>")
+    got = neural.neighbour_vectors(adj, f)
+    assert {r.node_id: (r.vector, r.around) for r in got.collect()} == {"x": ([1.0, 2.0], [6.5, -1.0]), "y": ([3.0, -1.0], [3.0, -1.0])}
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_similarity_within_pairs(spark):
+    r = np.random.default_rng(5)
+    v = np.round(r.standard_normal((60, 3)))  # many equal scores
+    q = spark.createDataFrame([(f"p{i % 2}", f"s{i}", x.tolist()) for i, x in enumerate(v)], "pair string, source_id string, vector array<double>")
+    t = spark.createDataFrame([(f"p{i % 2}", f"t{i}", x.tolist()) for i, x in enumerate(v[::-1])], "pair string, target_id string, vector array<double>")
+    want = sorted(map(tuple, retrieval.similarity_top_k(q, t, 4).select("pair", "source_id", "target_id", "score", "rank").collect()))
+    for block in (1000, 7):
+        assert sorted(map(tuple, retrieval.similarity_within(q, t, 4, block).select("pair", "source_id", "target_id", "score", "rank").collect())) == want
