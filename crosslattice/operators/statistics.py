@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosslattice.runtime import Scratch, tasks
@@ -94,20 +96,45 @@ def bootstrap(diffs: DataFrame, rounds: int = 10_000, seed: int = 20260601) -> D
     """``label``, ``ci_low``, ``ci_high``: 2.5 and 97.5 percentiles of the mean of resampled differences.
 
     The index of each draw comes from arithmetic on round and place, so every engine draws alike.
-    A comparison's pairs are few and travel as one array; its rounds are spread over the tasks, and
-    no draw is a row.
+    A comparison's differences are one array of doubles, of which each task that runs some of its
+    rounds has a copy; a round's draws are summed as they are made, no draw is a row.
     """
-    each = diffs.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pair", "diff"))).alias("d")).withColumn("d", F.transform("d", lambda x: x["diff"]))
-    spread = each.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).repartition(tasks(diffs.sparkSession), "label", "round")
-
-    def drawn(j: Column) -> Column:
-        x = (F.lit(seed).cast("bigint") + F.col("round") * 7919 + j * 104729) % LCG_M
-        for _ in range(2):
-            x = (x * LCG_A + LCG_C) % LCG_M
-        return F.get("d", (F.shiftright(x, 8) % F.size("d")).cast("int"))
-
-    total = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, j: s + drawn(j.cast("bigint")))
-    means = spread.select("label", (total / F.size("d")).alias("m"))
+    scratch = Scratch(diffs.sparkSession, "bootstrap")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, list[bytes]] = {}
+        for b in batches:
+            for label, part in b.to_pandas().groupby("label", sort=False)["diff"]:
+                held.setdefault(label, []).append(part.to_numpy(np.float64).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([b"".join(x) for x in held.values()], pa.binary())], names=["label", "d"])
+
+    ordered = diffs.filter("label is not null").select("label", "pair", F.col("diff").cast("double").alias("diff")).repartition("label").sortWithinPartitions("label", "pair", "diff")
+    each, k = scratch.save(ordered.select("label", "diff").mapInArrow(pack, "label string, d binary"))
+    n = tasks(diffs.sparkSession)
+    step = max(1, -(-rounds // max(1, -(-2 * n // max(1, k["rows"])))))
+    low = F.explode(F.array(*[F.lit(x) for x in range(0, rounds, step)]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for label, low, d in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                d = np.frombuffer(d, np.float64)
+                high, many = min(rounds, low + step), max(1, (1 << 18) // len(d))
+                place = (np.arange(len(d), dtype=np.uint64) * np.uint64(104729)).astype(np.uint32)
+                means = np.empty(high - low)
+                for at in range(low, high, many):
+                    # the modulus is a power of two, so 32 bits hold all that counts
+                    r = np.arange(at, min(high, at + many), dtype=np.uint64) * np.uint64(7919) + np.uint64(seed)
+                    x = r.astype(np.uint32)[:, None] + place
+                    for _ in range(2):
+                        x *= np.uint32(LCG_A)
+                        x += np.uint32(LCG_C)
+                    x &= np.uint32(LCG_M - 1)
+                    x >>= np.uint32(8)
+                    x %= np.uint32(len(d))
+                    means[at - low : at - low + len(x)] = d[x].sum(1) / len(d)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(means), pa.string()), pa.array(means, from_pandas=True)], names=["label", "m"])
+
+    means = each.select("label", low.alias("low"), "d").repartition(n, "label", "low").mapInArrow(run, "label string, m double")
     return means.groupBy("label").agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
 
 

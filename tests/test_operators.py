@@ -227,3 +227,23 @@ def test_bootstrap_runs_ten_thousand_rounds(spark):
             draws.append(diffs[(x >> 8) % len(diffs)])
         means.append(sum(draws) / len(diffs))
     assert np.allclose([got.ci_low, got.ci_high], np.percentile(means, [2.5, 97.5]), atol=1e-9)
+
+
+def test_bootstrap_does_not_copy_the_differences_for_each_round(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    made = {"a": r.standard_normal(3000), "b": r.standard_normal(1)}
+    df = spark.createDataFrame([(k, f"p{i:05d}", float(x)) for k, v in made.items() for i, x in enumerate(v)], "label string, pair string, diff double")
+    got = statistics.bootstrap(df, 500)
+    plan = got._jdf.queryExecution().toString()
+    assert "sequence(0, 499" not in plan and "MapInArrow" in plan
+    j = np.arange(3000)
+    for row in got.collect():
+        d, means = made[row.label], []
+        for round_ in range(500):
+            x = (20260601 + round_ * 7919 + j[: len(d)] * 104729) % statistics.LCG_M
+            for _ in range(2):
+                x = (x * statistics.LCG_A + statistics.LCG_C) % statistics.LCG_M
+            means.append(d[(x >> 8) % len(d)].mean())
+        assert np.allclose([row.ci_low, row.ci_high], np.percentile(means, [2.5, 97.5]), atol=1e-9)
