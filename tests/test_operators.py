@@ -195,6 +195,26 @@ def test_network_learns_to_tell_pairs(spark):
     assert f.filter("role = 'test'").count() == 6
 
 
+def test_folds_of_many_pairs_are_whole_and_small_once_written(spark, tmp_path):
+    n = 2500
+    name = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 20)
+    neural.folds(spark.range(n).select(name.alias("pair"), F.lit("a").alias("source"), F.lit("b").alias("target"))).write.parquet(str(tmp_path / "f"))
+    f = spark.read.parquet(str(tmp_path / "f"))
+    per = f.groupBy("fold").agg(F.count("*").alias("rows"), F.count_distinct("pair").alias("pairs"), F.count_if(F.expr("role = 'test' and pair = fold")).alias("held"), F.count_if(F.expr("role = 'train'")).alias("kept"))
+    assert per.count() == n and per.filter(f"rows <> {n} or pairs <> {n} or held <> 1 or kept <> {n - 1}").count() == 0
+    assert sum(x.stat().st_size for x in (tmp_path / "f").glob("*.parquet")) < 0.4 * n * n
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 9, 40])
+def test_folds_at_the_edges_of_tasks(spark, monkeypatch, n):
+    for k, v in (("FOLDS", 4), ("PAIRS", 6), ("RUN", 3)):
+        monkeypatch.setattr(neural, k, v)
+    names = [None, *(f"p{i}" for i in range(n))][:n]
+    f = neural.folds(spark.createDataFrame([(x, "a", "b") for x in names], "pair string, source string, target string"))
+    assert rows(f) == sorted([(a, b, "test" if a and a == b else "train") for a in names for b in names], key=repr)
+    assert all(r.folds <= 4 and r.pairs <= 6 for r in f.groupBy(F.spark_partition_id()).agg(F.count_distinct("fold").alias("folds"), F.count_distinct("pair").alias("pairs")).collect())
+
+
 def test_stream_drops_repeats_and_resumes(spark, tmp_path):
     from crosslattice.streaming import journal as s
 
